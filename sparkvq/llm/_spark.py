@@ -7,12 +7,15 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..ship import ship
+
 #: Rows of one Arrow batch. Texts may be long, so batches are kept small.
 BATCH_ROWS = 512
 
 
 def arrow(spark: SparkSession) -> None:
     """Bound the Arrow batches of this session: rows here are whole texts or blocks, not numbers."""
+    ship(spark)
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
