@@ -11,6 +11,7 @@ import importlib
 #: and, where SQL can express the query, ORACLE_SQL.
 OPERATORS = [
     "op3_quality",
+    "op4_jaccard",
     "op10_sentencepiece",
 ]
 
