@@ -12,6 +12,7 @@ import importlib
 OPERATORS = [
     "op3_quality",
     "op4_jaccard",
+    "op5_shards",
     "op10_sentencepiece",
 ]
 
