@@ -13,6 +13,7 @@ OPERATORS = [
     "op3_quality",
     "op4_jaccard",
     "op5_shards",
+    "op6_decontaminate",
     "op10_sentencepiece",
 ]
 
