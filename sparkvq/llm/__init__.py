@@ -14,6 +14,7 @@ OPERATORS = [
     "op4_jaccard",
     "op5_shards",
     "op6_decontaminate",
+    "op8_secrets",
     "op10_sentencepiece",
 ]
 
