@@ -15,6 +15,7 @@ OPERATORS = [
     "op5_shards",
     "op6_decontaminate",
     "op8_secrets",
+    "op9_warc",
     "op10_sentencepiece",
 ]
 
