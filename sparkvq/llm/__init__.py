@@ -14,6 +14,7 @@ OPERATORS = [
     "op4_jaccard",
     "op5_shards",
     "op6_decontaminate",
+    "op7_lines",
     "op8_secrets",
     "op9_warc",
     "op10_sentencepiece",
