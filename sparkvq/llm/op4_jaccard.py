@@ -22,6 +22,7 @@ copies of each other; extra columns are ignored.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from fractions import Fraction
 from math import ceil
@@ -37,7 +38,7 @@ from ._text import LOWER, U64, mix, prefix_hash, shingles, slices, span_hash, wo
 
 THRESHOLD = Fraction(3, 4)
 #: Hashed counts that set the order; cuts of the shingle space for the suffix filter.
-FREQ_BITS, PIECES, CUTS = 18, 16, 16
+FREQ_BITS, PIECES, CUTS = 22, 64, 512
 #: Groups up to this size are paired in full at once.
 SMALL = 12
 #: Prefix entries of one block partition, and of a block before it is sent on.
@@ -60,25 +61,40 @@ def node_of(s: np.ndarray) -> int:
     return int(mix(mix(s).sum(dtype=U64, keepdims=True) + U64(len(s))).view(np.int64)[0])
 
 
+def cut_counts(s: np.ndarray) -> bytes:
+    """How many of the set lie in each cut of the shingle space; empty if a count needs more than a byte."""
+    n = np.bincount((s & U64(CUTS - 1)).astype(np.int64), minlength=CUTS)
+    return n.astype(np.uint8).tobytes() if n.max() < 256 else b""
+
+
+def suffix_filter(na: np.ndarray, nb: np.ndarray, ca: list[bytes], cb: list[bytes]) -> np.ndarray:
+    """Whether the sets' counts in the cuts allow the overlap that the threshold needs."""
+    ok = np.array([bool(x) and bool(y) for x, y in zip(ca, cb, strict=True)], bool)
+    out = ~ok
+    if ok.any():
+        at = lambda c: np.frombuffer(b"".join(x for x, k in zip(c, ok, strict=True) if k), np.uint8).reshape(-1, CUTS)
+        both = np.minimum(at(ca), at(cb)).sum(1, dtype=np.int64)
+        out[ok] = both * (THRESHOLD.numerator + THRESHOLD.denominator) >= THRESHOLD.numerator * (na[ok] + nb[ok])
+    return out
+
+
 def survey(docs: DataFrame) -> DataFrame:
     """Per document (doc_id, node, n, cuts); and rows (part, freq) with pieces of the table of hashed counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        freq = np.zeros(1 << FREQ_BITS, np.int64)
+        freq = np.zeros(1 << FREQ_BITS, np.uint32)
         names = ["doc_id", "node", "n", "cuts", "part", "freq"]
         for batch in batches:
             node, n, cuts = [], [], []
             for _, s in shingle_sets(batch.column(1)):
                 n.append(len(s))
                 node.append(node_of(s) if len(s) else None)
-                cuts.append(np.bincount((s & U64(CUTS - 1)).astype(np.int64), minlength=CUTS).astype("<u4").tobytes())
-                freq += np.bincount((s >> U64(64 - FREQ_BITS)).astype(np.int64), minlength=1 << FREQ_BITS) if len(s) > 4096 else 0
-                if len(s) <= 4096:
-                    np.add.at(freq, (s >> U64(64 - FREQ_BITS)).astype(np.int64), 1)
+                cuts.append(cut_counts(s))
+                np.add.at(freq, (s >> U64(64 - FREQ_BITS)).astype(np.int64), np.uint32(1))
             none = pa.nulls(len(n))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(node, pa.int64()), pa.array(n, pa.int64()), pa.array(cuts, pa.binary()), none.cast(pa.int32()), none.cast(pa.binary())], names)
         none = pa.nulls(PIECES)
-        yield pa.RecordBatch.from_arrays([none.cast(pa.int64())] * 3 + [none.cast(pa.binary()), pa.array(range(PIECES), pa.int32()), pa.array([p.astype("<u4").tobytes() for p in np.split(freq, PIECES)], pa.binary())], names)
+        yield pa.RecordBatch.from_arrays([none.cast(pa.int64())] * 3 + [none.cast(pa.binary()), pa.array(range(PIECES), pa.int32()), pa.array([zlib.compress(p.tobytes(), 1) for p in np.split(freq, PIECES)], pa.binary())], names)
 
     return docs.mapInArrow(run, "doc_id long, node long, n long, cuts binary, part int, freq binary")
 
@@ -87,11 +103,13 @@ def frequencies(found: DataFrame) -> np.ndarray:
     """The table of hashed counts; FREQ_BITS bound what reaches the driver."""
 
     def total(table: pa.Table) -> pa.Table:
-        add = sum(np.frombuffer(b.as_py(), "<u4").astype(np.int64) for b in table.column("freq"))
-        return pa.table({"part": table.column("part")[:1], "freq": pa.array([np.minimum(add, 2**32 - 1).astype("<u4").tobytes()], pa.binary())})
+        add = np.zeros((1 << FREQ_BITS) // PIECES, np.int64)
+        for b in table.column("freq"):
+            add += np.frombuffer(zlib.decompress(b.as_py()), np.uint32)
+        return pa.table({"part": table.column("part")[:1], "freq": pa.array([np.minimum(add, 2**32 - 1).astype(np.uint32).tobytes()], pa.binary())})
 
     rows = found.where("part is not null").select("part", "freq").groupBy("part").applyInArrow(total, "part int, freq binary").collect()
-    return np.concatenate([np.frombuffer(r[1], "<u4") for r in sorted(rows)]) if rows else np.zeros(1 << FREQ_BITS, np.uint32)
+    return np.concatenate([np.frombuffer(r[1], np.uint32) for r in sorted(rows)]) if rows else np.zeros(1 << FREQ_BITS, np.uint32)
 
 
 def prefix(s: np.ndarray, freq: np.ndarray) -> np.ndarray:
@@ -240,10 +258,10 @@ def candidates(blocks: DataFrame) -> DataFrame:
 JOINED = np.dtype([("home", "<i8"), ("token", "<u4"), ("node", "<i8"), ("n", "<u4"), ("pos", "<u4"), ("root", "<i8")])
 
 
-def second_pairs(big: DataFrame, roots: DataFrame, parts: int) -> DataFrame:
+def second_pairs(big: DataFrame, nodes: DataFrame, parts: int) -> DataFrame:
     """Admissible pairs (a, b) of the groups beyond SMALL whose members are still in different components.
 
-    Entries meet their roots dealt by node, in blocks, and come back together by group.
+    nodes (node, root, cuts). Entries meet their roots dealt by node, in blocks, and come back together by group.
     """
 
     def by_node(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -256,34 +274,45 @@ def second_pairs(big: DataFrame, roots: DataFrame, parts: int) -> DataFrame:
                 j["home"] = home.as_py()
                 part = mix(j["node"].view(U64).copy()) % U64(parts)
                 some = np.unique(part)
-                yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array([j[part == k].tobytes() for k in some], pa.binary()), pa.nulls(len(some), pa.binary())], ["part", "entries", "roots"])
+                yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array([j[part == k].tobytes() for k in some], pa.binary()), pa.nulls(len(some), pa.binary()), pa.nulls(len(some), pa.binary())], ["part", "entries", "roots", "cuts"])
 
     def pack_roots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             pair = np.stack([batch.column(0).to_numpy(), batch.column(1).to_numpy()], 1)
+            cuts = np.array([c.as_py() or bytes(CUTS) for c in batch.column(2)], f"V{CUTS}")
             part = mix(pair[:, 0].copy().view(U64)) % U64(parts)
             some = np.unique(part)
-            yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.nulls(len(some), pa.binary()), pa.array([pair[part == k].tobytes() for k in some], pa.binary())], ["part", "entries", "roots"])
+            blob = lambda x: pa.array([x[part == k].tobytes() for k in some], pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.nulls(len(some), pa.binary()), blob(pair), blob(cuts)], ["part", "entries", "roots", "cuts"])
 
     def give_roots(table: pa.Table) -> pa.Table:
         own = [np.frombuffer(b.as_py(), np.int64).reshape(-1, 2) for b in table.column("roots") if b.is_valid]
         root = np.concatenate(own) if own else np.zeros((0, 2), np.int64)
-        root = root[np.argsort(root[:, 0])]
+        cuts = np.frombuffer(b"".join(b.as_py() for b in table.column("cuts") if b.is_valid), np.uint8).reshape(-1, CUTS)
+        order = np.argsort(root[:, 0])
+        root, cuts = root[order], cuts[order]
         out: dict[int, list[bytes]] = {}
+        sent: dict[int, np.ndarray] = {}
         for b in table.column("entries"):
             if b.is_valid:
                 j = np.frombuffer(b.as_py(), JOINED).copy()
-                at = np.minimum(np.searchsorted(root[:, 0], j["node"]), max(0, len(root) - 1))
-                hit = root[at, 0] == j["node"] if len(root) else np.zeros(len(j), bool)
-                j["root"] = np.where(hit, root[at, 1] if len(root) else 0, j["node"])
+                at = np.searchsorted(root[:, 0], j["node"])
+                j["root"] = root[at, 1]
                 for h in np.unique(j["home"]):
-                    out.setdefault(int(h), []).append(j[j["home"] == h].tobytes())
-        return pa.table({"home": pa.array(list(out), pa.int64()), "entries": pa.array([b"".join(x) for x in out.values()], pa.binary())})
+                    mine = j["home"] == h
+                    out.setdefault(int(h), []).append(j[mine].tobytes())
+                    sent[int(h)] = np.union1d(sent.get(int(h), at[:0]), at[mine])
+        blob = lambda x: pa.array([x[sent[h]].tobytes() for h in out], pa.binary())
+        return pa.table({"home": pa.array(list(out), pa.int64()), "entries": pa.array([b"".join(x) for x in out.values()], pa.binary()), "nodes": blob(root[:, 0]), "cuts": blob(cuts)})
 
     def cross(table: pa.Table) -> pa.Table:
         j = np.frombuffer(b"".join(b.as_py() for b in table.column("entries")), JOINED)
         e, starts, sizes = _groups(j)
         n, pos, found = e["n"].astype(np.int64), e["pos"].astype(np.int64), []
+        node = np.frombuffer(b"".join(b.as_py() for b in table.column("nodes")), np.int64)
+        cuts = np.frombuffer(b"".join(b.as_py() for b in table.column("cuts")), np.uint8).reshape(-1, CUTS)
+        node, at = np.unique(node, return_index=True)
+        cuts, place, tried = cuts[at], np.searchsorted(node, e["node"]), set()
         for s, z in zip(starts, sizes, strict=True):
             root = e["root"][s : s + z]
             if (root == root[0]).all():
@@ -292,15 +321,22 @@ def second_pairs(big: DataFrame, roots: DataFrame, parts: int) -> DataFrame:
             for k in range(1, z):
                 jj = np.arange(s + far[k], s + k)
                 jj = jj[e["root"][jj] != root[k]]
-                ok = jj[admissible(n, pos, np.full(len(jj), s + k), jj)]
-                if len(ok):
-                    found.append(_unique(np.full(len(ok), e["node"][s + k]), e["node"][ok]))
+                jj = jj[admissible(n, pos, np.full(len(jj), s + k), jj)]
+                x = int(place[s + k])
+                jj = jj[[(x, y) not in tried for y in place[jj].tolist()]] if len(jj) else jj
+                tried.update((x, y) for y in place[jj].tolist())
+                both = np.minimum(cuts[place[jj]], cuts[x]).sum(1, dtype=np.int64)
+                need = THRESHOLD.numerator * (n[jj] + n[s + k])
+                known = cuts[place[jj]].any(1) & cuts[x].any()
+                jj = jj[~known | (both * (THRESHOLD.numerator + THRESHOLD.denominator) >= need)]
+                if len(jj):
+                    found.append(_unique(np.full(len(jj), e["node"][s + k]), e["node"][jj]))
         p = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
         return pa.table({"a": pa.array(p[:, 0], pa.int64()), "b": pa.array(p[:, 1], pa.int64())})
 
-    kind = "part int, entries binary, roots binary"
-    entries = big.mapInArrow(by_node, kind).unionByName(roots.select("node", "root").mapInArrow(pack_roots, kind))
-    back = entries.groupBy("part").applyInArrow(give_roots, "home long, entries binary")
+    kind = "part int, entries binary, roots binary, cuts binary"
+    entries = big.mapInArrow(by_node, kind).unionByName(nodes.select("node", "root", "cuts").mapInArrow(pack_roots, kind))
+    back = entries.groupBy("part").applyInArrow(give_roots, "home long, entries binary, nodes binary, cuts binary")
     return back.groupBy("home").applyInArrow(cross, "a long, b long").distinct()
 
 
@@ -312,9 +348,7 @@ def verify(docs: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
 
     @F.arrow_udf("boolean")
     def may(na: pa.Array, nb: pa.Array, ca: pa.Array, cb: pa.Array) -> pa.Array:
-        at = lambda c: np.frombuffer(b"".join(c.to_pylist()), "<u4").reshape(-1, CUTS).astype(np.int64)
-        both = np.minimum(at(ca), at(cb)).sum(1)
-        return pa.array(both * (t.numerator + t.denominator) >= t.numerator * (na.to_numpy() + nb.to_numpy()))
+        return pa.array(suffix_filter(na.to_numpy(), nb.to_numpy(), ca.to_pylist(), cb.to_pylist()))
 
     left = stored(pairs.join(cuts("a"), "a").join(cuts("b"), "b").where(may("n_a", "n_b", "cuts_a", "cuts_b")).select("a", "b"), "pairs")
     need = left.selectExpr("a node").unionByName(left.selectExpr("b node")).distinct().join(nodes.select("node", "doc_id"), "node")
@@ -333,7 +367,7 @@ def verify(docs: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
                     out.append(s.tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(kept, pa.int64()), pa.array(out, pa.binary())], ["node", "s"])
 
-    own = stored(wanted.mapInArrow(sets, "node long, s binary").dropDuplicates(["node"]), "sets")
+    own = stored(wanted.mapInArrow(sets, "node long, s binary"), "sets")
 
     @F.arrow_udf("boolean")
     def alike(x: pa.Array, y: pa.Array) -> pa.Array:
@@ -363,7 +397,8 @@ def link(docs: DataFrame) -> DataFrame:
     big = first.where("block is not null").select("block", F.monotonically_increasing_id().alias("home"))
     big = stored(big, "big")
     if not big.isEmpty():
-        more = stored(second_pairs(big, components(edges), parts), "second")
+        rooted = nodes.select("node", "cuts").join(components(edges), "node", "left").withColumn("root", F.coalesce("root", "node"))
+        more = stored(second_pairs(big, rooted, parts), "second")
         if not more.isEmpty():
             edges = edges.unionByName(verify(docs, nodes, more))
     roots = components(edges)
