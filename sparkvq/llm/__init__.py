@@ -10,6 +10,7 @@ import importlib
 #: Module of each operator, in the order of their numbers. A module has a query of its own name
 #: and, where SQL can express the query, ORACLE_SQL.
 OPERATORS = [
+    "op1_langid",
     "op2_suffix",
     "op3_quality",
     "op4_jaccard",
