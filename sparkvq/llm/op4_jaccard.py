@@ -11,9 +11,10 @@ shingle space bound the overlap); then each pair's sets are compared once.
 
 Links, not pairs, are the result, so a large group need not yield all its pairs: each member
 of a group of more than SMALL is first paired with its predecessor and with the group's
-first admissible member; what those links connect is settled. A second round pairs, in
-those groups, every admissible two members that are still in different components. No pair of
-similar sets stays unconnected, and no group yields its square unless its members differ.
+first admissible member; what those links connect is settled. A second round gives each member
+of those groups the likeliest partner in another component (the suffix filter ranks them), a third
+pairs every admissible two that are still in different components. No pair of similar
+sets stays unconnected, and no group yields its square unless its members differ.
 
 Edge cases: null or empty text, or white space alone: no shingles, no links, its own
 component; fewer than five words: the whole sequence is the one shingle; repeated rows are
@@ -236,31 +237,46 @@ def first_pairs(e: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndar
     return _unique(np.concatenate(out_a), np.concatenate(out_b))
 
 
-def _pair_rows(p: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(p[:, 0], pa.int64()), pa.array(p[:, 1], pa.int64()), pa.nulls(len(p), pa.binary())], ["a", "b", "block"])
+def _packed_pairs(p: np.ndarray, parts: int) -> pa.RecordBatch:
+    """Pairs in blocks (part, pairs), a pair always to the same part: groups that find it again send it there."""
+    part = mix(p.view(U64)[:, 0] * U64(3) + p.view(U64)[:, 1]) % U64(parts) if len(p) else np.zeros(0, U64)
+    some = np.unique(part)
+    return pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array([p[part == k].tobytes() for k in some], pa.binary())], ["part", "pairs"])
 
 
-def candidates(blocks: DataFrame) -> DataFrame:
-    """Pairs (a, b) of the first round, and blocks with the entries of the groups beyond SMALL."""
+def distinct_pairs(packed: DataFrame) -> DataFrame:
+    """Each pair (a, b) of the blocks (part, pairs) once."""
+
+    def run(table: pa.Table) -> pa.Table:
+        p = np.unique(np.frombuffer(b"".join(b.as_py() for b in table.column("pairs")), np.int64).reshape(-1, 2), axis=0)
+        return pa.table({"a": pa.array(p[:, 0], pa.int64()), "b": pa.array(p[:, 1], pa.int64())})
+
+    return packed.groupBy("part").applyInArrow(run, "a long, b long")
+
+
+def candidates(blocks: DataFrame, parts: int) -> DataFrame:
+    """Blocks (part, pairs) of the first round's pairs, and blocks with the entries of the groups beyond SMALL."""
 
     def run(table: pa.Table) -> pa.Table:
         e, starts, sizes = _groups(np.concatenate([_unpack(b.as_py()) for b in table.column("block")]))
-        rows = [_pair_rows(first_pairs(e, starts, sizes))]
+        p = _packed_pairs(first_pairs(e, starts, sizes), parts)
+        rows = [pa.RecordBatch.from_arrays([*p.columns, pa.nulls(len(p), pa.binary())], ["part", "pairs", "block"])]
         big = sizes > SMALL
         if big.any():
             at = np.concatenate([np.arange(s, s + z) for s, z in zip(starts[big], sizes[big], strict=True)])
-            rows.append(pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.array([_pack(e[at])], pa.binary())], ["a", "b", "block"]))
+            rows.append(pa.RecordBatch.from_arrays([pa.nulls(1, pa.int32()), pa.nulls(1, pa.binary()), pa.array([_pack(e[at])], pa.binary())], ["part", "pairs", "block"]))
         return pa.Table.from_batches(rows)
 
-    return blocks.groupBy("part").applyInArrow(run, "a long, b long, block binary")
+    return blocks.groupBy("part").applyInArrow(run, "part int, pairs binary, block binary")
 
 
 JOINED = np.dtype([("home", "<i8"), ("token", "<u4"), ("node", "<i8"), ("n", "<u4"), ("pos", "<u4"), ("root", "<i8")])
 
 
-def second_pairs(big: DataFrame, nodes: DataFrame, parts: int) -> DataFrame:
+def second_pairs(big: DataFrame, nodes: DataFrame, parts: int, best: bool) -> DataFrame:
     """Admissible pairs (a, b) of the groups beyond SMALL whose members are still in different components.
 
+    best: of each member only the pair whose cuts allow the most overlap, relative to the sizes.
     nodes (node, root, cuts). Entries meet their roots dealt by node, in blocks, and come back together by group.
     """
 
@@ -328,16 +344,19 @@ def second_pairs(big: DataFrame, nodes: DataFrame, parts: int) -> DataFrame:
                 both = np.minimum(cuts[place[jj]], cuts[x]).sum(1, dtype=np.int64)
                 need = THRESHOLD.numerator * (n[jj] + n[s + k])
                 known = cuts[place[jj]].any(1) & cuts[x].any()
-                jj = jj[~known | (both * (THRESHOLD.numerator + THRESHOLD.denominator) >= need)]
+                ok = ~known | (both * (THRESHOLD.numerator + THRESHOLD.denominator) >= need)
+                jj, both = jj[ok], both[ok]
+                if best and len(jj):
+                    jj = jj[[np.argmax(both / (n[jj] + n[s + k]))]]
                 if len(jj):
                     found.append(_unique(np.full(len(jj), e["node"][s + k]), e["node"][jj]))
         p = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
-        return pa.table({"a": pa.array(p[:, 0], pa.int64()), "b": pa.array(p[:, 1], pa.int64())})
+        return pa.Table.from_batches([_packed_pairs(p, parts)])
 
     kind = "part int, entries binary, roots binary, cuts binary"
     entries = big.mapInArrow(by_node, kind).unionByName(nodes.select("node", "root", "cuts").mapInArrow(pack_roots, kind))
     back = entries.groupBy("part").applyInArrow(give_roots, "home long, entries binary, nodes binary, cuts binary")
-    return back.groupBy("home").applyInArrow(cross, "a long, b long").distinct()
+    return distinct_pairs(back.groupBy("home").applyInArrow(cross, "part int, pairs binary"))
 
 
 def verify(docs: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -392,15 +411,16 @@ def link(docs: DataFrame) -> DataFrame:
     nodes = stored(own.where("node is not null and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("cuts").alias("cuts")), "nodes")
     total = nodes.agg(F.sum(F.col("n") / 4 + 1)).first()[0] or 0
     parts = max(8, int(total // PART_ROWS))
-    first = stored(candidates(prefixes(docs, frequencies(found), parts).repartition(parts, "part")), "first")
-    edges = verify(docs, nodes, first.where("block is null").select("a", "b").distinct())
+    first = stored(candidates(prefixes(docs, frequencies(found), parts).repartition(parts, "part"), parts), "first")
+    edges = verify(docs, nodes, distinct_pairs(first.where("block is null").select("part", "pairs")))
     big = first.where("block is not null").select("block", F.monotonically_increasing_id().alias("home"))
     big = stored(big, "big")
-    if not big.isEmpty():
+    for best in () if big.isEmpty() else (True, False):
         rooted = nodes.select("node", "cuts").join(components(edges), "node", "left").withColumn("root", F.coalesce("root", "node"))
-        more = stored(second_pairs(big, rooted, parts), "second")
-        if not more.isEmpty():
-            edges = edges.unionByName(verify(docs, nodes, more))
+        more = stored(second_pairs(big, rooted, parts, best), "second")
+        if more.isEmpty():
+            break
+        edges = edges.unionByName(verify(docs, nodes, more))
     roots = components(edges)
     placed = own.select("doc_id", "node", "n").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     placed = stored(placed.select("doc_id", "n", "root"), "placed")
