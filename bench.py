@@ -36,7 +36,9 @@ def main() -> None:
     for name in HEADLINE:
         run = QUERIES[name][0]
         timed(run(spark, d))
-        seconds[name] = round(timed(run(spark, d)), 3)
+        t = time.perf_counter()  # some queries work while they are built
+        timed(run(spark, d))
+        seconds[name] = round(time.perf_counter() - t, 3)
 
     v = vectors(spark, d)
     n = v.count() * COPIES
