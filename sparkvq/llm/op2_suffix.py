@@ -376,9 +376,9 @@ def spans_to_remove(docs: DataFrame) -> DataFrame:
     parts = max(8, int(size // PART_BYTES))
     found = stored(repeated_runs(find_runs(texts.where(F.octet_length("text") >= LENGTH), parts).repartition(parts, "part")), "runs")
     members = found.where("part is not null").select("part", "data")
-    want = found.where("node is not null").groupBy("node").agg(F.collect_list("data").alias("wants"), F.sum(F.length("data") + 24).alias("size"))
+    want = found.where("node is not null").groupBy("node").agg(F.collect_list("data").alias("wants"))
     want = stored(want, "wanted")
-    wanted = texts.join(light(want, "size").select("node", "wants"), "node").select("node", "text", "wants")
+    wanted = texts.join(want.select("node", "wants"), "node").select("node", "text", "wants")
     spans = repeated_spans(members, send_runs(wanted, parts).repartition(parts, "part"))
     copies = texts.where(F.octet_length("text") >= LENGTH).groupBy("node").count().where("count > 1").select("node", F.lit(True).alias("copied"))
     gone = spans.groupBy("node").agg(F.collect_list("spans").alias("spans")).join(copies, "node", "full")
