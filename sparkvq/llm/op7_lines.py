@@ -119,12 +119,12 @@ def deduplicated(docs: DataFrame) -> DataFrame:
         return pa.StructArray.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["n_lines", "n_chunks", "n_removed_chunks", "n_removed_lines", "kept"])
 
     gone = removals(docs)
-    lists = gone.select(F.col("doc_id").alias("lines_dedup_id"), "removed")
+    lists = gone.select(F.col("doc_id").alias("lines_dedup_id"), F.col("removed").alias("lines_dedup_removed"))
     if lists.count() <= SEND_ROWS:
         lists = F.broadcast(lists)
     own = F.coalesce(docs["doc_id"].cast("long"), F.lit(NO_ID))
     joined = docs.join(lists, own == F.col("lines_dedup_id"), "left")
-    return joined.withColumn("lines_dedup", kept_text(docs["text"].cast("string"), F.col("removed"))).drop("removed", "lines_dedup_id")
+    return joined.withColumn("lines_dedup", kept_text(docs["text"].cast("string"), F.col("lines_dedup_removed"))).drop("lines_dedup_removed", "lines_dedup_id")
 
 
 def op7_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
