@@ -39,11 +39,11 @@ from ._text import LOWER, U64, mix, prefix_hash, shingles, slices, span_hash, wo
 
 THRESHOLD = Fraction(3, 4)
 #: Hashed counts that set the order; cuts of the shingle space for the suffix filter.
-FREQ_BITS, PIECES, CUTS = 22, 64, 512
+FREQ_BITS, PIECES, CUTS = 21, 64, 512
 #: Groups up to this size are paired in full at once.
 SMALL = 12
 #: Prefix entries of one block partition, and of a block before it is sent on.
-PART_ROWS, FLUSH_ROWS = 400_000, 1_500_000
+PART_ROWS, FLUSH_ROWS = 250_000, 600_000
 #: Ids of this many documents may be broadcast (16 MB); beyond it the texts are joined by shuffle.
 SEND_IDS = 2_000_000
 
