@@ -11,11 +11,15 @@ from ..ship import ship
 
 #: Rows of one Arrow batch. Texts may be long, so batches are kept small.
 BATCH_ROWS = 512
+#: Of Python workers, which live on between stages: freed memory goes back to the system.
+WORKER_ENV = {"MALLOC_ARENA_MAX": "1", "MALLOC_TRIM_THRESHOLD_": str(32 << 20), "MALLOC_MMAP_THRESHOLD_": str(4 << 20), "ARROW_DEFAULT_MEMORY_POOL": "system"}
 
 
 def arrow(spark: SparkSession) -> None:
     """Bound the Arrow batches of this session: rows here are whole texts or blocks, not numbers."""
     ship(spark)
+    for name, value in WORKER_ENV.items():
+        spark.sparkContext.environment.setdefault(name, value)
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 

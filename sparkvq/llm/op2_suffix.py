@@ -43,7 +43,7 @@ DEPTH = LENGTH // SYMBOL
 GRAMS = LENGTH - GRAM + 1
 SHARDS = 4
 #: Suffixes merged at once (a minimiser's runs always together); runs of a block before it is sent on.
-UNIT, FLUSH = 1_500_000, 400_000
+UNIT, FLUSH = 500_000, 400_000
 #: Text bytes for each part that runs are dealt to.
 PART_BYTES = 12_000_000
 #: Lists of up to this many bytes in all may be broadcast; beyond it they are joined by shuffle.
@@ -355,8 +355,8 @@ def repeated_spans(members: DataFrame, contents: DataFrame) -> DataFrame:
         node = rows["node"][who]
         order = np.argsort(node, kind="stable")
         node, spans = node[order], spans[order]
-        at = np.flatnonzero(np.concatenate([[True], node[1:] != node[:-1]])) if len(node) else np.zeros(0, np.int64)
-        out = [(int(node[x]), merged_spans(spans[x:y]).tobytes()) for x, y in zip(at, [*at[1:], len(node)], strict=True)]
+        at = [*np.flatnonzero(np.diff(node, prepend=node[:1] - 1)).tolist(), len(node)]
+        out = [(int(node[x]), merged_spans(spans[x:y]).tobytes()) for x, y in zip(at, at[1:], strict=False)]
         return _table(out, ["node", "spans"], [pa.int64(), pa.binary()])
 
     none = F.lit(None).cast("binary")
@@ -406,9 +406,9 @@ def cut_texts(docs: DataFrame) -> DataFrame:
                 rows.append((n, 0, 0, raw))
         return pa.StructArray.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*rows, strict=True)) or [()] * 4, [pa.int64()] * 3 + [pa.binary()], strict=True)], ["n_bytes", "n_removed", "n_spans", "kept"])
 
-    lists = light(sized, "size").select(F.col("node").alias("suffix_dedup_node"), "spans", "copied")
+    lists = light(sized, "size").select(F.col("node").alias("suffix_dedup_node"), F.col("spans").alias("suffix_dedup_spans"), F.col("copied").alias("suffix_dedup_copied"))
     joined = docs.join(lists, F.xxhash64(docs["text"]) == F.col("suffix_dedup_node"), "left")
-    return joined.withColumn("suffix_dedup", cut(docs["text"], F.col("spans"), F.col("copied"))).drop("suffix_dedup_node", "spans", "copied")
+    return joined.withColumn("suffix_dedup", cut(docs["text"], F.col("suffix_dedup_spans"), F.col("suffix_dedup_copied"))).drop("suffix_dedup_node", "suffix_dedup_spans", "suffix_dedup_copied")
 
 
 def op2_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
