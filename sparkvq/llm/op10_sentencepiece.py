@@ -6,9 +6,10 @@ prefix before t is compatible with it, that is, p + t encodes to (p, t). An
 Aho-Corasick automaton over the vocabulary gives the tokens that end at each
 character; the table keeps the one that passes; ids are read off it backwards.
 
-No piece of the model has a word mark after another character, so a text falls into
-independent chunks (marks, then other characters). The table is made per distinct
-chunk and kept in a cache of bounded size, and a text is the concatenation of its chunks.
+No piece of the model has a word mark after another character, nor letters beside other
+characters, so a text falls into independent chunks (marks, then letters and digits, or then
+others). The table is made per distinct chunk and kept in a cache of bounded size, and a
+text is the concatenation of its chunks.
 
 Edge cases: a null or empty text gives (begin, end) alone; characters that the model
 lacks give their UTF-8 bytes as byte pieces; doc_id may be null; other columns are ignored.
@@ -21,14 +22,15 @@ import re
 import struct
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from ._spark import arrow, documents
 
 MARK = "▁"
-#: Distinct chunks and token pairs that a worker keeps; beyond it the cache starts anew.
-CACHE = 400_000
+#: Distinct chunks that a worker keeps in each of two generations; token pairs.
+CACHE, PAIRS = 150_000, 400_000
 
 
 def _fields(b: bytes) -> Iterator[tuple[int, object]]:
@@ -88,14 +90,36 @@ class Bpe:
             raise ValueError("the model must have identity normalisation, a dummy prefix and keep white space")
         if any(MARK in p.lstrip(MARK) for p in self.id):
             raise ValueError("a piece has a word mark after another character")
-        self._own: dict[str, bool] = {}
-        self._pair: dict[tuple[str, str], bool] = {}
-        self._chunk: dict[str, tuple[bytes, int, bytes]] = {}
+        self.split = self._splitter()
+        self._pair: dict[int, bool] = {}
+        self._chunk: dict[str, bytes] = {}
+        self._old: dict[str, bytes] = {}
+        #: of each id its four bytes, and the bytes that it decodes to (marks kept)
+        self.packed = [struct.pack("<I", i) for i in range(len(self.pieces))]
+        self.plain = [bytes([int(p[3:5], 16)]) if k == 6 else p.encode("utf-8") if k == 1 else b"" for p, k in zip(self.pieces, self.kind, strict=True)]
+        # tokens that encode to themselves; others never end a prefix
         self.automaton = ahocorasick.Automaton()
-        for p in self.id:
-            self.automaton.add_word(p, p)
+        for p, i in self.id.items():
+            if len(self._merge(list(p))) == 1:
+                self.automaton.add_word(p, (i, len(p)))
         self.automaton.make_automaton()
 
+    def _splitter(self):
+        """Cuts a marked text into chunks that no piece crosses.
+
+        Pieces have marks only in front. Letters and digits are also parted from all else, but for
+        characters that some piece joins to the other kind, which are counted with the rest until no piece mixes both.
+        """
+        letter = re.compile(r"[^\W_]").match
+        joined = {(x, y) for p in self.id for x, y in zip(p, p[1:], strict=False) if x != MARK}
+        kind = {c: bool(letter(c)) for p in self.id for c in p}
+        moved: set[str] = set()
+        while more := {c for x, y in joined if kind[x] != kind[y] for c in (x, y) if kind[c]}:
+            moved |= more
+            kind |= dict.fromkeys(more, False)
+        also = re.escape("".join(sorted(moved)))
+        return re.compile(rf"{MARK}*[^\W_{also}]+|{MARK}*(?:[^\w{MARK}]|[_{also}])+|{MARK}+").findall
+
     def _merge(self, symbols: list[str]) -> list[str]:
         """The merges themselves: highest score first, then leftmost. For strings of a token or two only."""
         score = self.score
@@ -110,89 +134,75 @@ class Bpe:
             symbols[at : at + 2] = [symbols[at] + symbols[at + 1]]
         return symbols
 
-    def own(self, t: str) -> bool:
-        """Whether t encodes to itself."""
-        known = self._own.get(t)
-        if known is None:
-            known = self._own[t] = len(self._merge(list(t))) == 1
-        return known
-
-    def fits(self, p: str, t: str) -> bool:
-        """Whether p and t, each its own encoding, stay apart when they meet."""
-        known = self._pair.get((p, t))
-        if known is None:
-            if len(self._pair) >= CACHE:
-                self._pair.clear()
-            known = self._pair[p, t] = self._merge(list(p + t)) == [p, t]
+    def fits(self, p: int, t: int) -> bool:
+        """Whether tokens p and t, each its own encoding, stay apart when they meet."""
+        if len(self._pair) >= PAIRS:
+            self._pair.clear()
+        a, b = self.pieces[p], self.pieces[t]
+        known = self._pair[p << 24 | t] = self._merge(list(a + b)) == [a, b]
         return known
 
-    def tokens(self, chunk: str) -> list[str]:
-        """Pieces of a chunk; a character that the model lacks is a piece of its own."""
-        last: list[str | None] = [None] * len(chunk)
-        pair, own = self._pair, self._own
-        for end, t in self.automaton.iter(chunk):
-            if last[end] is not None:
-                continue
-            o = own.get(t)
-            if o is None:
-                o = self.own(t)
-            if not o:
+    def ids(self, chunk: str) -> list[int]:
+        """Ids of a chunk: the prefix table, then back from its end."""
+        last = [-1] * len(chunk)
+        pair = self._pair.get
+        for end, (t, n) in self.automaton.iter(chunk):
+            if last[end] >= 0:
                 continue
-            before = end - len(t)
+            before = end - n
             if before >= 0:
                 p = last[before]
-                if p is not None:
-                    ok = pair.get((p, t))
+                if p >= 0:
+                    ok = pair(p << 24 | t)
                     if not (self.fits(p, t) if ok is None else ok):
                         continue
                 elif chunk[before] in self.id:
                     continue
             last[end] = t
-        out, i = [], len(chunk) - 1
+        out, i, pieces = [], len(chunk) - 1, self.pieces
         while i >= 0:
-            t = last[i] or chunk[i]
-            out.append(t)
-            i -= len(t)
+            t = last[i]
+            if t >= 0:
+                out.append(t)
+                i -= len(pieces[t])
+            else:  # a character that the model lacks
+                out += [self.byte[b] for b in reversed(chunk[i].encode("utf-8"))]
+                i -= 1
         return out[::-1]
 
-    def ids(self, chunk: str) -> list[int]:
-        out: list[int] = []
-        for t in self.tokens(chunk):
-            n = self.id.get(t)
-            out += [n] if n is not None else [self.byte[b] for b in t.encode("utf-8")]
-        return out
-
     def piece_bytes(self, ids: list[int]) -> bytes:
         """UTF-8 of the pieces, marks kept, control pieces left out."""
-        return b"".join(bytes([int(self.pieces[i][3:5], 16)]) if self.kind[i] == 6 else self.pieces[i].encode("utf-8") if self.kind[i] == 1 else b"" for i in ids)
+        plain = self.plain
+        return b"".join([plain[i] for i in ids])
 
-    def chunk(self, chunk: str) -> tuple[bytes, int, bytes]:
-        """Ids as little-endian words, how many, and the bytes that they decode to."""
-        known = self._chunk.get(chunk)
+    def chunk(self, chunk: str) -> bytes:
+        """Ids as little-endian words. Two generations of chunks are kept."""
+        known = self._old.get(chunk)
         if known is None:
-            ids = self.ids(chunk)
-            known = (struct.pack(f"<{len(ids)}I", *ids), len(ids), self.piece_bytes(ids))
-            if len(chunk) < 64:
-                if len(self._chunk) >= CACHE:
-                    self._chunk.clear()
-                self._chunk[chunk] = known
+            packed = self.packed
+            known = b"".join([packed[i] for i in self.ids(chunk)])
+        if len(chunk) < 64:
+            if len(self._chunk) >= CACHE:
+                self._old, self._chunk = self._chunk, {}
+            self._chunk[chunk] = known
         return known
 
-    def encode(self, text: str | None) -> tuple[bytes, int, bytes]:
-        """Ids with begin and end as bytes, their number, and decode(ids) as UTF-8."""
+    def encode(self, text: str | None) -> bytes:
+        """Ids with begin and end, as little-endian words."""
         text = text or ""
         marked = (MARK + text.replace(" ", MARK)) if text else ""
         known, chunk = self._chunk.get, self.chunk
-        parts = [known(c) or chunk(c) for c in _CHUNK(marked)]
-        ids = struct.pack("<I", self.bos) + b"".join([p[0] for p in parts]) + struct.pack("<I", self.eos)
-        return ids, len(ids) // 4, _plain(b"".join([p[2] for p in parts]))
+        return b"".join([self.packed[self.bos], *[known(c) or chunk(c) for c in self.split(marked)], self.packed[self.eos]])
+
+    def decoded(self, ids: bytes) -> bytes:
+        """UTF-8 of the text of ids (little-endian words): one leading mark goes, the others are spaces."""
+        return _plain(self.piece_bytes(np.frombuffer(ids, "<u4").tolist()))
 
     def decode(self, ids: list[int]) -> str:
         """Text of ids: one leading mark goes, the others are spaces."""
-        return _plain(self.piece_bytes(list(ids))).decode("utf-8", errors="replace")
+        return _plain(self.piece_bytes(ids)).decode("utf-8", errors="replace")
 
 
-_CHUNK = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+").findall
 _MARK8 = MARK.encode("utf-8")
 
 
@@ -224,10 +234,10 @@ def encode_documents(docs: DataFrame, model_path: str, keep_ids: bool = False) -
         for batch in batches:
             n, a, b, blobs = [], [], [], []
             for text in batch.column(1):
-                ids, count, plain = bpe.encode(text.as_py())
-                n.append(count)
+                ids = bpe.encode(text.as_py())
+                n.append(len(ids) // 4)
                 a.append(sha(ids).hexdigest())
-                b.append(sha(plain).hexdigest())
+                b.append(sha(bpe.decoded(ids)).hexdigest())
                 if keep_ids:
                     blobs.append(ids)
             columns = [batch.column(0), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())]
