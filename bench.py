@@ -15,7 +15,7 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 HEADLINE = ["vec_norm", "rht_rotate", "mse_codes_b2", "mse_codes_b4", "prod_scalars", "pack4_hex", "mse_decode", "prod_decode", "exact_topk", "mse_topk", "prod_topk", "int8_topk", "filtered_topk", "rerank_topk", "distortion_by_bits", "ip_bias_slope", "recall_at_10", "padded_lineitem_codes", "attention_accumulate", "stream_encode"]
-COPIES = 100
+COPIES = 500
 
 
 def main() -> None:

@@ -45,6 +45,14 @@ class Layout:
         bits = np.unpackbits(rows[:, : self.code_bytes], axis=1, count=self.dim * self.bits, bitorder="little")
         return (bits.reshape(len(rows), self.dim, self.bits) << np.arange(self.bits, dtype=np.uint8)).sum(2, dtype=np.uint8)
 
+    def gather(self, rows: np.ndarray, values: np.ndarray) -> np.ndarray:
+        """values[code] of each code of packed rows. Where codes do not cross bytes, whole bytes are looked up."""
+        if 8 % self.bits or self.dim * self.bits % 8:
+            return values[self.unpack(rows)]
+        per = 8 // self.bits
+        byte = np.arange(256)[:, None] >> np.arange(per) * self.bits & (1 << self.bits) - 1
+        return values[byte].take(rows[:, : self.code_bytes], 0).reshape(len(rows), self.dim)
+
     def code_at(self, row: bytes, j: int) -> int:
         """Code j of one packed row."""
         bit = j * self.bits

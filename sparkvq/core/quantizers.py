@@ -77,7 +77,16 @@ class Mse:
 
     def dot(self, p: np.ndarray, codes: np.ndarray, n: np.ndarray) -> np.ndarray:
         """Estimated inner products, queries x rows."""
-        return (_products(p, self.codebook.decode(codes)) * n).astype(np.float32)
+        return self.dot_levels(p, self.codebook.decode(codes), n)
+
+    def levels(self, packed: np.ndarray) -> np.ndarray:
+        """Levels of packed rows of codes."""
+        if not self.bits:
+            return np.zeros((len(packed), self.padded), np.float32)
+        return self.layout.gather(packed, self.codebook.centroids)
+
+    def dot_levels(self, p: np.ndarray, levels: np.ndarray, n: np.ndarray) -> np.ndarray:
+        return (_products(p, levels) * n).astype(np.float32)
 
 
 @dataclass(frozen=True)
@@ -129,9 +138,12 @@ class Prod:
 
     def dot(self, state: tuple[np.ndarray, np.ndarray], codes: np.ndarray, sketch: np.ndarray, n: np.ndarray, gamma: np.ndarray) -> np.ndarray:
         """Estimated inner products, queries x rows."""
+        return self.dot_levels(state, self.mse.codebook.decode(codes), sketch, n, gamma)
+
+    def dot_levels(self, state: tuple[np.ndarray, np.ndarray], levels: np.ndarray, sketch: np.ndarray, n: np.ndarray, gamma: np.ndarray) -> np.ndarray:
         p, w = state
         signs = _products(w, unpack_signs(sketch, self.padded))
-        total = _products(p, self.mse.codebook.decode(codes)) + gamma.astype(np.float64) * np.float64(self.scale) * signs
+        total = _products(p, levels) + gamma.astype(np.float64) * np.float64(self.scale) * signs
         return (total * n).astype(np.float32)
 
 
@@ -163,8 +175,14 @@ def int8_query(p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def int8_scores(table: np.ndarray, queries: np.ndarray, codes: np.ndarray) -> np.ndarray:
-    """Exact integer sums of table[code] * query, queries x rows (float64 products of small integers are exact)."""
-    return np.rint(queries.astype(np.float64) @ table[codes].T.astype(np.float64)).astype(np.int64)
+    """Exact integer sums of table[code] * query, queries x rows."""
+    return int8_products(queries, table[codes])
+
+
+def int8_products(queries: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """Exact inner products of int8 rows: in floats, whose sums are exact as long as they fit the mantissa."""
+    kind = np.float32 if queries.shape[1] * 127 * 127 < 1 << 24 else np.float64
+    return (queries.astype(kind) @ rows.T.astype(kind, copy=False)).astype(np.int64)
 
 
 def can_vectorize(bits: int, dim: int) -> bool:

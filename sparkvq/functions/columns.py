@@ -60,8 +60,12 @@ def _struct(parts: dict[str, pa.Array], good: np.ndarray) -> pa.Array:
 
 
 def block(column: pa.Array, width: int) -> np.ndarray:
-    """A binary column of equal widths without nulls, as rows of bytes."""
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), width)
+    """A binary column of equal widths without nulls, as rows of bytes; its buffer itself."""
+    if not len(column):
+        return np.zeros((0, width), np.uint8)
+    _, offsets, data = column.buffers()
+    first = np.frombuffer(offsets, np.int64 if pa.types.is_large_binary(column.type) else np.int32)[column.offset]
+    return np.frombuffer(data, np.uint8, len(column) * width, first).reshape(len(column), width)
 
 
 Kernel = tuple[str, Callable]

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..core.quantizers import Mse, Prod, int8_query, int8_scores, int8_table, norms
+from ..core.quantizers import Mse, Prod, int8_products, int8_query, int8_table, norms
 from ..functions.columns import block, matrix
 from ..ship import ship
 
@@ -46,8 +46,9 @@ class TopK:
 
     def add(self, ids: np.ndarray, scores: np.ndarray) -> None:
         """scores: queries x ids."""
-        for q, s in enumerate(scores):
-            own = self.scores[q]
+        least = np.array([s[-1] if len(s) == self.k else -np.inf for s in self.scores])
+        for q in np.flatnonzero(scores.max(1) >= least):
+            s, own = scores[q], self.scores[q]
             keep = np.flatnonzero(s >= own[-1]) if len(own) == self.k else np.arange(len(s))
             if not len(keep):
                 continue
@@ -119,11 +120,11 @@ def search(encoded: DataFrame, model: Mse | Prod, queries: DataFrame, k: int, me
     def score(state: tuple, batch: pa.RecordBatch) -> np.ndarray:
         p, q_norm = state
         n = batch.column(1).to_numpy()
-        codes = inner.layout.unpack(block(batch.column(2), inner.layout.code_bytes)) if inner.bits else np.zeros((len(n), m), np.uint8)
+        levels = inner.levels(block(batch.column(2), inner.layout.code_bytes) if inner.bits else np.zeros((len(n), 0), np.uint8))
         if prod:
-            ip = model.dot(p, codes, block(batch.column(4), -(-m // 8)), n, batch.column(3).to_numpy())
+            ip = model.dot_levels(p, levels, block(batch.column(4), -(-m // 8)), n, batch.column(3).to_numpy())
         else:
-            ip = model.dot(p, codes, n)
+            ip = model.dot_levels(p, levels, n)
         return by_metric(ip.astype(np.float64), q_norm, n, metric)
 
     columns = ["vec_id", "norm", "codes", "gamma", "sketch"] if prod else ["vec_id", "norm", "codes"]
@@ -135,7 +136,7 @@ def int8_search(encoded: DataFrame, model: Mse, queries: DataFrame, k: int) -> D
     table, _ = int8_table(model.codebook.centroids)
 
     def score(q: np.ndarray, batch: pa.RecordBatch) -> np.ndarray:
-        return int8_scores(table, q, model.layout.unpack(block(batch.column(1), model.layout.code_bytes)))
+        return int8_products(q, model.layout.gather(block(batch.column(1), model.layout.code_bytes), table.astype(np.float32)))
 
     return scan(encoded, ["vec_id", "codes"], queries, k, score, lambda v: int8_query(model.prepare(v))[0], "long")
 
