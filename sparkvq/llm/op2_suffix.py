@@ -8,6 +8,12 @@ other with one minimiser are a run, and a run's bytes hold its windows whole. Ru
 by minimiser, so equal windows meet; runs whose minimiser occurs once in the corpus hold
 no repeat and stop there. Runs equal in all bytes are one class with a weight.
 
+Common strings. A table of hashed counts over all GRAM-byte strings says which are common; those
+rank last as minimisers. So windows that hold a common passage and anything else are dealt by
+what else they hold, and only windows within the passage, which are equal, meet by it. Where a
+task has more than BUNDLE runs of one class, it sends one with their number, and their list apart
+from it; lists meet the class's result in a join, not in a group.
+
 Transform and merge. A suffix steps over its run by symbols of SYMBOL bytes, so that
 DEPTH = LENGTH / SYMBOL symbols make a window and each residue of the start is a string of
 its own (symbols are named by rank of a hash of their bytes; any order serves). The runs of a group of
@@ -35,6 +41,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ._counts import PIECES, pieces, total
 from ._spark import arrow, documents, stored
 from ._text import U64, Texts, prefix_hash, slices, span_hash
 
@@ -44,27 +51,56 @@ GRAMS = LENGTH - GRAM + 1
 SHARDS = 4
 #: Suffixes merged at once (a minimiser's runs always together); runs of a block before it is sent on.
 UNIT, FLUSH = 500_000, 400_000
+#: Hashed counts of GRAM-byte strings; one is common beyond COMMON more than twice the mean count.
+COUNTS, COMMON = 1 << 20, 5_000
+#: Runs of one class that a task sends singly.
+BUNDLE = 64
 #: Text bytes for each part that runs are dealt to.
 PART_BYTES = 12_000_000
 #: Lists of up to this many bytes in all may be broadcast; beyond it they are joined by shuffle.
 SEND_BYTES = 32_000_000
 
-RUN = np.dtype([("key", "<u8"), ("same", "<u8"), ("node", "<i8"), ("at", "<u4"), ("windows", "<u4")])
+RUN = np.dtype([("key", "<u8"), ("same", "<u8"), ("node", "<i8"), ("at", "<u4"), ("windows", "<u4"), ("weight", "<u4")])
 WANT = np.dtype([("key", "<u8"), ("same", "<u8"), ("at", "<u4"), ("windows", "<u4")])
+MEMBER = np.dtype([("node", "<i8"), ("at", "<u4")])
 SPAN = np.dtype([("start", "<u4"), ("end", "<u4")])
 
 
-def runs_of(t: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def grams_of(t: Texts) -> tuple[np.ndarray, np.ndarray]:
+    """Prefix hashes of the bytes, and the hash of the GRAM bytes from each place."""
+    prefix = prefix_hash(t.data)
+    starts = np.arange(max(0, len(t.data) - GRAM + 1))
+    return prefix, span_hash(prefix, starts, starts + GRAM)
+
+
+def bucket(gram: np.ndarray) -> np.ndarray:
+    return (gram >> U64(40)).astype(np.int64) & (COUNTS - 1)
+
+
+def common_strings(texts: DataFrame) -> np.ndarray:
+    """For each bucket of the hashed counts over all texts (node, text) whether it is a common one."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(COUNTS, np.uint32)
+        for batch in batches:
+            for t in slices(batch.column(1)):
+                np.add.at(counts, bucket(grams_of(t)[1]), np.uint32(1))
+        yield pa.RecordBatch.from_arrays([pa.array(range(PIECES), pa.int32()), pa.array(pieces(counts), pa.binary())], ["part", "freq"])
+
+    counts = total(texts.mapInArrow(run, "part int, freq binary"), COUNTS)
+    return counts > COMMON + 2 * counts.mean()
+
+
+def runs_of(t: Texts, common: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Text, first window, windows, hash of the minimiser and hash of all bytes of each run."""
     n = len(t.data)
     none = np.zeros(0, np.int64)
     if n < LENGTH:
         return none, none, none, none.astype(U64), none.astype(U64)
-    prefix = prefix_hash(t.data)
-    starts = np.arange(n - GRAM + 1)
-    gram = span_hash(prefix, starts, starts + GRAM)
+    prefix, gram = grams_of(t)
     bits = U64(max(1, int(n).bit_length()))
-    low = (gram >> bits << bits) | starts.astype(U64)
+    low = (gram >> bits << bits >> U64(1)) | common[bucket(gram)].astype(U64) << U64(63)
+    low = (low >> bits << bits) | np.arange(len(gram), dtype=U64)
     have = 1
     while have * 2 <= GRAMS:
         low = np.minimum(low[:-have], low[have:])
@@ -108,19 +144,50 @@ def _table(rows: list[tuple], names: list[str], kinds: list[pa.DataType]) -> pa.
     return pa.table({n: pa.array(c, k) for n, c, k in zip(names, columns, kinds, strict=True)})
 
 
-def find_runs(texts: DataFrame, parts: int) -> DataFrame:
-    """(part, block): runs of the texts (node, text), dealt by minimiser; a task sends a text once."""
+def classes(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows ordered by minimiser, then by hash of all bytes; the class of each."""
+    rows = rows[np.lexsort((rows["at"], rows["node"], rows["same"], rows["key"]))]
+    new = np.ones(len(rows), bool)
+    new[1:] = (rows["key"][1:] != rows["key"][:-1]) | (rows["same"][1:] != rows["same"][:-1])
+    return rows, np.cumsum(new) - 1
+
+
+def bundled(rows: np.ndarray, most: int) -> tuple[np.ndarray, list[tuple[int, int, bytes]]]:
+    """Rows with one for each class of more than most, its weight their number; and these classes' members."""
+    rows, of = classes(rows)
+    size = np.bincount(of)
+    many = size[of] > most
+    if not many.any():
+        return rows, []
+    head = np.concatenate([[True], of[1:] != of[:-1]])
+    rows["weight"] = np.where(many, size[of], 1)
+    out = []
+    start = np.cumsum(size) - size
+    for c in np.flatnonzero(size > most):
+        own = rows[start[c] : start[c] + size[c]]
+        m = np.empty(len(own), MEMBER)
+        m["node"], m["at"] = own["node"], own["at"]
+        out.append((int(own["key"][:1].view(np.int64)[0]), int(own["same"][:1].view(np.int64)[0]), m.tobytes()))
+    return rows[~many | head], out
+
+
+def find_runs(texts: DataFrame, common: np.ndarray, parts: int) -> DataFrame:
+    """Runs of the texts (node, text): blocks (part, block), dealt by minimiser, and bundles (key, same, members). A task sends a text once."""
+    sent = texts.sparkSession.sparkContext.broadcast(common)
+    kinds = [pa.int32(), pa.binary(), pa.int64(), pa.int64(), pa.binary()]
+    names = ["part", "block", "key", "same", "members"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         held: list[np.ndarray] = []
-        total = 0
+        count = 0
 
         def flush() -> pa.RecordBatch:
-            rows = np.concatenate(held)
+            rows, bundles = bundled(np.concatenate(held), BUNDLE)
             held.clear()
             some, blocks = _blocks(rows, rows["key"], parts)
-            return pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(blocks, pa.binary())], ["part", "block"])
+            out = [(p, b, None, None, None) for p, b in zip(some, blocks, strict=True)] + [(None, None, *x) for x in bundles]
+            return _table(out, names, kinds).combine_chunks().to_batches()[0]
 
         for batch in batches:
             nodes = batch.column(0).to_numpy()
@@ -129,19 +196,19 @@ def find_runs(texts: DataFrame, parts: int) -> DataFrame:
                 fresh = np.array([not (k in seen or seen.add(k)) for k in own.tolist()], bool)
                 if len(seen) > 2_000_000:
                     seen.clear()
-                text, at, count, key, same = runs_of(t)
+                text, at, windows, key, same = runs_of(t, sent.value)
                 keep = fresh[text]
                 rows = np.empty(int(keep.sum()), RUN)
-                rows["key"], rows["same"], rows["node"], rows["at"], rows["windows"] = key[keep], same[keep], own[text[keep]], at[keep], count[keep]
+                rows["key"], rows["same"], rows["node"], rows["at"], rows["windows"], rows["weight"] = key[keep], same[keep], own[text[keep]], at[keep], windows[keep], 1
                 held.append(rows)
-                total += len(rows)
-                if total >= FLUSH:
+                count += len(rows)
+                if count >= FLUSH:
                     yield flush()
-                    total = 0
-        if total:
+                    count = 0
+        if count:
             yield flush()
 
-    return texts.mapInArrow(run, "part int, block binary")
+    return texts.mapInArrow(run, "part int, block binary, key long, same long, members binary")
 
 
 def repeated_runs(blocks: DataFrame) -> DataFrame:
@@ -150,8 +217,9 @@ def repeated_runs(blocks: DataFrame) -> DataFrame:
     def run(table: pa.Table) -> pa.Table:
         part = table.column("part")[0].as_py()
         rows = np.unique(np.concatenate([_rows(b.as_py(), RUN) for b in table.column("block")]))
-        count = np.diff(np.concatenate([np.flatnonzero(np.concatenate([[True], rows["key"][1:] != rows["key"][:-1]])), [len(rows)]]))
-        rows = rows[np.repeat(count, count) > 1]
+        start = np.flatnonzero(np.concatenate([[True], rows["key"][1:] != rows["key"][:-1]]))
+        weight = np.add.reduceat(rows["weight"].astype(np.int64), start) if len(rows) else start
+        rows = rows[np.repeat(weight, np.diff(np.append(start, len(rows)))) > 1]
         out: list[tuple] = []
         if len(rows):
             out.append((part, None, rows.tobytes()))
@@ -256,7 +324,7 @@ def merge(shards: list[Shard]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return z, place, common
 
 
-def repeated_windows(pieces: list[np.ndarray], windows: np.ndarray, weight: np.ndarray) -> list[np.ndarray]:
+def repeated_windows(pieces: list[np.ndarray], windows: np.ndarray, weight: np.ndarray, n_shards: int = SHARDS) -> list[np.ndarray]:
     """For runs (bytes, number of windows, weight): which of its windows occur twice or more, as flags."""
     data = np.concatenate(pieces)
     sizes = np.array([len(p) for p in pieces])
@@ -271,8 +339,8 @@ def repeated_windows(pieces: list[np.ndarray], windows: np.ndarray, weight: np.n
     symbol = np.zeros(len(q), np.int64)
     symbol[has] = np.unique(span_hash(prefix, at, at + SYMBOL), return_inverse=True)[1] + 1
     shards, members = [], []
-    for k in range(min(SHARDS, len(pieces))):
-        mine = np.flatnonzero(run % SHARDS == k)
+    for k in range(min(n_shards, len(pieces))):
+        mine = np.flatnonzero(run % n_shards == k)
         before = np.where(q[mine] >= SYMBOL, np.arange(len(mine)) - SYMBOL, -1)
         shards.append(Shard(symbol[mine], before))
         members.append(mine)
@@ -302,20 +370,14 @@ def merged_spans(spans: np.ndarray) -> np.ndarray:
 
 
 def repeated_spans(members: DataFrame, contents: DataFrame) -> DataFrame:
-    """(node, spans): bytes of each text that the repeated windows of one part cover."""
+    """(node, spans): bytes of each text that the repeated windows of one part cover; (key, same, spans): of a bundled class, from its run's start."""
 
     def run(table: pa.Table) -> pa.Table:
-        rows = np.concatenate([np.frombuffer(b.as_py(), RUN) for b in table.column("members") if b.is_valid])
-        order = np.lexsort((rows["same"], rows["key"]))
-        rows = rows[order]
-        new = np.ones(len(rows), bool)
-        new[1:] = (rows["key"][1:] != rows["key"][:-1]) | (rows["same"][1:] != rows["same"][:-1])
-        of = np.cumsum(new) - 1
-        head = rows[new]
-        weight = np.bincount(of)
+        rows, of = classes(np.concatenate([np.frombuffer(b.as_py(), RUN) for b in table.column("members") if b.is_valid]))
+        head = rows[np.concatenate([[True], of[1:] != of[:-1]])]
+        weight = np.bincount(of, rows["weight"])
         piece: list[np.ndarray | None] = [None] * len(head)
-        name = head[["key", "same"]].copy()
-        where = {(int(k), int(s)): i for i, (k, s) in enumerate(name.tolist())}
+        where = {x: i for i, x in enumerate(zip(head["key"].tolist(), head["same"].tolist(), strict=True))}
         for block, raw in zip(table.column("block"), table.column("bytes"), strict=True):
             if not block.is_valid:
                 continue
@@ -330,7 +392,7 @@ def repeated_spans(members: DataFrame, contents: DataFrame) -> DataFrame:
         a = 0
         for b, after in zip(edges[1:], [*edges[2:], None], strict=True):
             if after is None or size[after] - size[a] > UNIT:
-                flags += repeated_windows(piece[a:b], head["windows"][a:b].astype(np.int64), weight[a:b])
+                flags += repeated_windows(piece[a:b], head["windows"][a:b].astype(np.int64), weight[a:b], SHARDS)
                 a = b
         # stretches of flagged windows of each class, then of each member
         lengths = np.array([len(f) for f in flags])
@@ -344,6 +406,7 @@ def repeated_spans(members: DataFrame, contents: DataFrame) -> DataFrame:
         base = first + np.arange(len(flags))
         owner = np.searchsorted(base, rise, "right") - 1
         lo, hi = rise - base[owner], fall - base[owner]
+        ends = hi - 1 + LENGTH
         n_of = np.bincount(owner, minlength=len(flags))
         begin = np.cumsum(n_of) - n_of
         reps = n_of[of]
@@ -351,17 +414,41 @@ def repeated_spans(members: DataFrame, contents: DataFrame) -> DataFrame:
         k = np.repeat(begin[of] - (np.cumsum(reps) - reps), reps) + np.arange(reps.sum())
         spans = np.empty(len(who), SPAN)
         spans["start"] = rows["at"][who] + lo[k]
-        spans["end"] = rows["at"][who] + hi[k] - 1 + LENGTH
+        spans["end"] = rows["at"][who] + ends[k]
         node = rows["node"][who]
         order = np.argsort(node, kind="stable")
         node, spans = node[order], spans[order]
         at = [*np.flatnonzero(np.diff(node, prepend=node[:1] - 1)).tolist(), len(node)]
-        out = [(int(node[x]), merged_spans(spans[x:y]).tobytes()) for x, y in zip(at, at[1:], strict=False)]
-        return _table(out, ["node", "spans"], [pa.int64(), pa.binary()])
+        out = [(int(node[x]), None, None, merged_spans(spans[x:y]).tobytes()) for x, y in zip(at, at[1:], strict=False)]
+        signed = np.stack([head["key"], head["same"]], 1).view(np.int64)
+        for c in np.unique(of[rows["weight"] > 1]):
+            own = np.empty(n_of[c], SPAN)
+            own["start"], own["end"] = lo[begin[c] : begin[c] + n_of[c]], ends[begin[c] : begin[c] + n_of[c]]
+            if len(own):
+                out.append((None, int(signed[c, 0]), int(signed[c, 1]), own.tobytes()))
+        return _table(out, ["node", "key", "same", "spans"], [pa.int64()] * 3 + [pa.binary()])
 
     none = F.lit(None).cast("binary")
     both = members.select("part", F.col("data").alias("members"), none.alias("block"), none.alias("bytes")).unionByName(contents.select("part", none.alias("members"), "block", "bytes"))
-    return both.groupBy("part").applyInArrow(run, "node long, spans binary")
+    return both.groupBy("part").applyInArrow(run, "node long, key long, same long, spans binary")
+
+
+def unbundled(bundles: DataFrame, hits: DataFrame) -> DataFrame:
+    """(node, spans) for the members of bundles (key, same, members), from the spans of their classes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for members, spans in zip(batch.column(0), batch.column(1), strict=True):
+                own = np.frombuffer(spans.as_buffer(), SPAN)
+                for node, at in np.frombuffer(members.as_buffer(), MEMBER).tolist():
+                    moved = own.copy()
+                    moved["start"] += at
+                    moved["end"] += at
+                    out.append((node, moved.tobytes()))
+            yield from _table(out, ["node", "spans"], [pa.int64(), pa.binary()]).to_batches()
+
+    return bundles.join(hits.select("key", "same", "spans"), ["key", "same"]).select("members", "spans").mapInArrow(run, "node long, spans binary")
 
 
 def light(df: DataFrame, size: str) -> DataFrame:
@@ -374,13 +461,17 @@ def spans_to_remove(docs: DataFrame) -> DataFrame:
     texts = docs.select(F.xxhash64("text").alias("node"), "text")
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(8, int(size // PART_BYTES))
-    found = stored(repeated_runs(find_runs(texts.where(F.octet_length("text") >= LENGTH), parts).repartition(parts, "part")), "runs")
+    long = texts.where(F.octet_length("text") >= LENGTH)
+    runs = stored(find_runs(long, common_strings(long), parts), "blocks")
+    found = stored(repeated_runs(runs.where("part is not null").select("part", "block").repartition(parts, "part")), "runs")
     members = found.where("part is not null").select("part", "data")
     want = found.where("node is not null").groupBy("node").agg(F.collect_list("data").alias("wants"))
     want = stored(want, "wanted")
     wanted = texts.join(want.select("node", "wants"), "node").select("node", "text", "wants")
-    spans = repeated_spans(members, send_runs(wanted, parts).repartition(parts, "part"))
-    copies = texts.where(F.octet_length("text") >= LENGTH).groupBy("node").count().where("count > 1").select("node", F.lit(True).alias("copied"))
+    results = stored(repeated_spans(members, send_runs(wanted, parts).repartition(parts, "part")), "results")
+    bundles = runs.where("key is not null").select("key", "same", "members")
+    spans = results.where("node is not null").select("node", "spans").unionByName(unbundled(bundles, results.where("key is not null")))
+    copies = long.groupBy("node").count().where("count > 1").select("node", F.lit(True).alias("copied"))
     gone = spans.groupBy("node").agg(F.collect_list("spans").alias("spans")).join(copies, "node", "full")
     return stored(gone.select("node", "spans", F.coalesce("copied", F.lit(False)).alias("copied")), "spans")
 

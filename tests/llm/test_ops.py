@@ -106,12 +106,12 @@ def removed_by_brute_force(texts, n=200):
     return out
 
 
-@pytest.mark.parametrize(("unit", "shards"), [(500_000, 4), (3_000, 3), (1_000, 1)])
-def test_suffix_dedup(spark, odd, odd_rows, empty, monkeypatch, unit, shards):
+@pytest.mark.parametrize(("unit", "shards", "common", "bundle"), [(500_000, 4, 5_000, 64), (3_000, 3, 3, 1), (1_000, 1, -1e9, 2)])
+def test_suffix_dedup(spark, odd, odd_rows, empty, monkeypatch, unit, shards, common, bundle):
     from sparkvq.llm import op2_suffix as m
 
-    monkeypatch.setattr(m, "UNIT", unit)
-    monkeypatch.setattr(m, "SHARDS", shards)
+    for name, value in (("UNIT", unit), ("SHARDS", shards), ("COMMON", common), ("BUNDLE", bundle)):
+        monkeypatch.setattr(m, name, value)
     docs = odd.fillna("", ["text"])
     got = m.cut_texts(docs).selectExpr("doc_id", "suffix_dedup.n_bytes", "suffix_dedup.n_removed", "suffix_dedup.n_spans", "sha2(suffix_dedup.kept, 256) kept_sha256", "spans", "copied")
     assert got.select("spans", "copied").distinct().collect() == [("spans", "copied")]
