@@ -11,6 +11,7 @@ import numpy as np
 from .density import mean_abs
 from .lloyd import Codebook, codebook
 from .packing import Layout, pack_signs, unpack_signs
+from .rng import Stream
 from .rotation import Rotation, rotation
 
 
@@ -147,6 +148,35 @@ class Prod:
         return (total * n).astype(np.float32)
 
 
+@dataclass(frozen=True)
+class GaussianSketch:
+    """The baseline that the orthogonal sketch replaces: signs of independent normal projections, one bit a coordinate."""
+
+    dim: int
+    seed: int = 0
+
+    @cached_property
+    def matrix(self) -> np.ndarray:
+        return Stream(self.seed, "testing").gaussians(self.dim**2).reshape(self.dim, self.dim)
+
+    def encode(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Sign bitmaps and norms."""
+        return pack_signs(x.astype(np.float64) @ self.matrix.T), norms(x)
+
+    def prepare(self, q: np.ndarray) -> np.ndarray:
+        return q.astype(np.float64) @ self.matrix.T
+
+    def dot(self, w: np.ndarray, sketch: np.ndarray, n: np.ndarray) -> np.ndarray:
+        scale = np.sqrt(np.pi / 2) / self.dim
+        return (scale * _products(w, unpack_signs(sketch, self.dim)) * n).astype(np.float32)
+
+
+def sketch_dot(w: np.ndarray, sketch: np.ndarray) -> np.ndarray:
+    """Products of sketched queries with signs, queries x rows: twice what the set bits select, less the whole sum."""
+    bits = np.unpackbits(sketch, axis=1, count=w.shape[1], bitorder="little")
+    return 2 * _products(w, bits) - w.astype(np.float64).sum(1)[:, None]
+
+
 def _products(q: np.ndarray, x: np.ndarray) -> np.ndarray:
     """Inner products in float64, queries x rows."""
     return q.astype(np.float64) @ x.T.astype(np.float64)

@@ -131,6 +131,16 @@ def search(encoded: DataFrame, model: Mse | Prod, queries: DataFrame, k: int, me
     return scan(encoded, columns, queries, k, score, prepare)
 
 
+def code_search(encoded: DataFrame, model: Mse, queries: DataFrame, k: int) -> DataFrame:
+    """By the sum of query times level alone, in float64: no norms, any number of bits."""
+
+    def score(p: np.ndarray, batch: pa.RecordBatch) -> np.ndarray:
+        levels = model.levels(block(batch.column(1), model.layout.code_bytes))
+        return (p.astype(np.float64) @ levels.T.astype(np.float64)).astype(np.float32).astype(np.float64)
+
+    return scan(encoded, ["vec_id", "codes"], queries, k, score, model.prepare)
+
+
 def int8_search(encoded: DataFrame, model: Mse, queries: DataFrame, k: int) -> DataFrame:
     """By the integer score alone: no norms, at most four bits; score is BIGINT."""
     table, _ = int8_table(model.codebook.centroids)

@@ -14,9 +14,9 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..core.density import NODES, WEIGHTS, gaussian, mean_abs, sphere
+from ..core.density import NODES, WEIGHTS, gaussian, legendre, mean_abs, sphere
 from ..core.lloyd import codebook, solve
-from ..core.quantizers import Mse, Prod, int8_table
+from ..core.quantizers import GaussianSketch, Mse, Prod, int8_table
 from ..core.rng import Stream
 from ..core.rotation import rotation
 from ..functions import columns as C
@@ -85,6 +85,15 @@ def quadrature_rule(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, list(zip(NODES.tolist(), WEIGHTS.tolist(), strict=True)), "x double, w double").agg(F.round(F.sum("w"), 12).alias("weights"), F.round(F.sum(F.col("w") * F.pow("x", F.lit(30))), 10).alias("degree_30"))
 
 
+@query(
+    """SELECT i AS pos, n, round(CASE n WHEN 0 THEN 1 WHEN 1 THEN x WHEN 2 THEN (3 * x ** 2 - 1) / 2 WHEN 3 THEN (5 * x ** 3 - 3 * x) / 2 ELSE (35 * x ** 4 - 30 * x ** 2 + 3) / 8 END, 10) + 0::DOUBLE AS p,
+  round(CASE n WHEN 0 THEN 0 WHEN 1 THEN 1 WHEN 2 THEN 3 * x WHEN 3 THEN (15 * x ** 2 - 3) / 2 ELSE (140 * x ** 3 - 60 * x) / 8 END, 10) + 0::DOUBLE AS slope FROM (SELECT i, (i - 4) / 5.0::DOUBLE AS x FROM range(9) r(i)), (SELECT unnest([0, 1, 2, 3, 4]) AS n)"""
+)
+def legendre_table(spark: SparkSession, d: str) -> DataFrame:
+    x = (np.arange(9) - 4) / 5
+    return table(spark, [(i, n, float(a), float(b)) for n in range(5) for i, (a, b) in enumerate(zip(*legendre(n, x), strict=True))], "pos long, n int, p double, slope double").select("pos", "n", F.round("p", 10).alias("p"), F.round("slope", 10).alias("slope"))
+
+
 @query(
     f"""SELECT i AS pos, round(exp(lgamma({DIM} / 2.0) - lgamma({DIM - 1} / 2.0) - 0.5 * ln(pi()) + {(DIM - 3) / 2} * ln(1 - t * t)), 8) AS sphere_pdf,
   round(exp(-t * t * {DIM} / 2.0) * sqrt({DIM} / (2 * pi())), 8) AS gaussian_pdf FROM (SELECT i, (i - 50) / 100.0::DOUBLE AS t FROM range(101) r(i))"""
@@ -318,6 +327,13 @@ def prod_topk(spark: SparkSession, d: str) -> DataFrame:
     return _ranks(FlatIndex.build(v, prod()).search(asked(v), K))
 
 
+@query(O.with_parts(_M, _top(f"({O.dot('p', 'c', DIM)})::FLOAT", "qr, k")))
+def code_topk(spark: SparkSession, d: str) -> DataFrame:
+    """By the codes' levels alone, without norms."""
+    v = vectors(spark, d)
+    return _ranks(search.code_search(FlatIndex.build(v, mse(4)).rows, mse(4), asked(v), K))
+
+
 _TABLE8, _ = int8_table(mse(4).codebook.centroids)
 _INT8 = [
     *_M,
@@ -440,6 +456,14 @@ def mse_only_bias(spark: SparkSession, d: str) -> DataFrame:
     return metrics.product_errors(v, asked(v), {str(b): mse(b) for b in range(1, 5)}).select(F.col("name").cast("int").alias("bits"), F.round("slope", 4).alias("slope"))
 
 
+@query()
+def gaussian_sketch(spark: SparkSession, d: str) -> DataFrame:
+    """One bit: normal projections against the orthogonal sketch, which has about a third of their error."""
+    v = vectors(spark, d)
+    found = metrics.product_errors(v, asked(v), {"gaussian": GaussianSketch(DIM, SEED), "orthogonal": prod(1)})
+    return found.select("name", F.round("slope", 3).alias("slope"), F.round(F.col("distortion") * DIM, 3).alias("distortion"))
+
+
 @query()
 def dense_vs_hadamard(spark: SparkSession, d: str) -> DataFrame:
     """Distortion and slope of both kinds of rotation."""

@@ -8,7 +8,7 @@ import pytest
 from sparkvq.core import lloyd, rng
 from sparkvq.core.density import NODES, WEIGHTS, gaussian, integrate, mean_abs, sphere
 from sparkvq.core.packing import Layout, pack_signs, unpack_signs
-from sparkvq.core.quantizers import Mse, Prod, can_vectorize, from_json, int8_query, int8_scores, int8_table, to_json
+from sparkvq.core.quantizers import GaussianSketch, Mse, Prod, can_vectorize, from_json, int8_query, int8_scores, int8_table, sketch_dot, to_json
 from sparkvq.core.rotation import rotation, walsh_hadamard
 
 SEED = 0x5EED
@@ -262,7 +262,7 @@ def pairs(n, d):
 
 def estimates(model, x, q):
     parts = model.encode(x)
-    if isinstance(model, Mse):
+    if not isinstance(model, Prod):
         return np.array([model.dot(model.prepare(q[i : i + 1]), *(a[i : i + 1] for a in parts))[0, 0] for i in range(len(x))])
     p, w = model.prepare(q)
     return np.array([model.dot((p[i : i + 1], w[i : i + 1]), *(a[i : i + 1] for a in parts))[0, 0] for i in range(len(x))])
@@ -303,13 +303,19 @@ def test_one_bit_is_the_sketch_alone():
 def test_orthogonal_sketch_beats_a_gaussian_one():
     x, q = pairs(1500, 128)
     truth = (x * q).sum(1).astype(np.float64)
-    s = np.random.Generator(np.random.PCG64(4)).standard_normal((128, 128))
-    plain = math.sqrt(math.pi / 2) / 128 * (np.sign(x @ s.T) * (q @ s.T)).sum(1)
+    plain = estimates(GaussianSketch(128, 4), x, q)
     ours = estimates(Prod(128, 1, SEED), x, q)
     assert math.isclose(((plain - truth) ** 2).mean() * 128, math.pi / 2, rel_tol=0.12)
     assert ((plain - truth) ** 2).mean() / ((ours - truth) ** 2).mean() > 2
 
 
+def test_masked_adds_are_the_sketch_product():
+    x, q = pairs(20, 64)
+    model = Prod(64, 3, SEED)
+    w, sketch = model.prepare(q)[1], model.encode(x)[1]
+    assert np.allclose(sketch_dot(w, sketch), w @ unpack_signs(sketch, 64).T, atol=1e-5)
+
+
 def test_exact_scale_differs_from_the_asymptotic_one():
     for m in (64, 128):
         limit = math.sqrt(math.pi / 2 / m)
