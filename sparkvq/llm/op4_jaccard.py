@@ -23,7 +23,6 @@ copies of each other; extra columns are ignored.
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 from fractions import Fraction
 from math import ceil
@@ -33,13 +32,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ._counts import PIECES, pieces, total
 from ._graph import components
 from ._spark import arrow, documents, stored
 from ._text import LOWER, U64, mix, prefix_hash, shingles, slices, span_hash, words
 
 THRESHOLD = Fraction(3, 4)
 #: Hashed counts that set the order; cuts of the shingle space for the suffix filter.
-FREQ_BITS, PIECES, CUTS = 21, 64, 512
+FREQ_BITS, CUTS = 21, 512
 #: Groups up to this size are paired in full at once.
 SMALL = 12
 #: Prefix entries of one block partition, and of a block before it is sent on.
@@ -95,24 +95,11 @@ def survey(docs: DataFrame) -> DataFrame:
             none = pa.nulls(len(n))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(node, pa.int64()), pa.array(n, pa.int64()), pa.array(cuts, pa.binary()), none.cast(pa.int32()), none.cast(pa.binary())], names)
         none = pa.nulls(PIECES)
-        yield pa.RecordBatch.from_arrays([none.cast(pa.int64())] * 3 + [none.cast(pa.binary()), pa.array(range(PIECES), pa.int32()), pa.array([zlib.compress(p.tobytes(), 1) for p in np.split(freq, PIECES)], pa.binary())], names)
+        yield pa.RecordBatch.from_arrays([none.cast(pa.int64())] * 3 + [none.cast(pa.binary()), pa.array(range(PIECES), pa.int32()), pa.array(pieces(freq), pa.binary())], names)
 
     return docs.mapInArrow(run, "doc_id long, node long, n long, cuts binary, part int, freq binary")
 
 
-def frequencies(found: DataFrame) -> np.ndarray:
-    """The table of hashed counts; FREQ_BITS bound what reaches the driver."""
-
-    def total(table: pa.Table) -> pa.Table:
-        add = np.zeros((1 << FREQ_BITS) // PIECES, np.int64)
-        for b in table.column("freq"):
-            add += np.frombuffer(zlib.decompress(b.as_py()), np.uint32)
-        return pa.table({"part": table.column("part")[:1], "freq": pa.array([np.minimum(add, 2**32 - 1).astype(np.uint32).tobytes()], pa.binary())})
-
-    rows = found.where("part is not null").select("part", "freq").groupBy("part").applyInArrow(total, "part int, freq binary").collect()
-    return np.concatenate([np.frombuffer(r[1], np.uint32) for r in sorted(rows)]) if rows else np.zeros(1 << FREQ_BITS, np.uint32)
-
-
 def prefix(s: np.ndarray, freq: np.ndarray) -> np.ndarray:
     """The first n - ceil(t n) + 1 shingles of s (ascending) in the common order."""
     rank = np.minimum(freq[(s >> U64(64 - FREQ_BITS)).astype(np.int64)], (1 << 20) - 1).astype(U64) << U64(44) | s >> U64(20)
@@ -333,23 +320,29 @@ def second_pairs(big: DataFrame, nodes: DataFrame, parts: int, best: bool) -> Da
             root = e["root"][s : s + z]
             if (root == root[0]).all():
                 continue
-            far = np.searchsorted(n[s : s + z], -(-THRESHOLD.numerator * n[s : s + z] // THRESHOLD.denominator))
-            for k in range(1, z):
-                jj = np.arange(s + far[k], s + k)
-                jj = jj[e["root"][jj] != root[k]]
-                jj = jj[admissible(n, pos, np.full(len(jj), s + k), jj)]
-                x = int(place[s + k])
-                jj = jj[[(x, y) not in tried for y in place[jj].tolist()]] if len(jj) else jj
-                tried.update((x, y) for y in place[jj].tolist())
+            # of a pair in two components one member at least is outside the largest
+            names, count = np.unique(root, return_counts=True)
+            sizes_here = n[s : s + z]
+            for k in np.flatnonzero(root != names[count.argmax()]) + s:
+                lo = s + np.searchsorted(sizes_here, -(-THRESHOLD.numerator * n[k] // THRESHOLD.denominator))
+                hi = s + np.searchsorted(sizes_here, THRESHOLD.denominator * n[k] // THRESHOLD.numerator, "right")
+                jj = np.arange(lo, hi)
+                jj = jj[e["root"][jj] != e["root"][k]]
+                at_k = np.full(len(jj), k)
+                up = jj < k  # members are in the order of their sizes
+                jj = jj[admissible(n, pos, np.where(up, at_k, jj), np.where(up, jj, at_k))]
+                x = int(place[k])
+                jj = jj[[(min(x, y), max(x, y)) not in tried for y in place[jj].tolist()]] if len(jj) else jj
+                tried.update((min(x, y), max(x, y)) for y in place[jj].tolist())
                 both = np.minimum(cuts[place[jj]], cuts[x]).sum(1, dtype=np.int64)
-                need = THRESHOLD.numerator * (n[jj] + n[s + k])
+                need = THRESHOLD.numerator * (n[jj] + n[k])
                 known = cuts[place[jj]].any(1) & cuts[x].any()
                 ok = ~known | (both * (THRESHOLD.numerator + THRESHOLD.denominator) >= need)
                 jj, both = jj[ok], both[ok]
                 if best and len(jj):
-                    jj = jj[[np.argmax(both / (n[jj] + n[s + k]))]]
+                    jj = jj[[np.argmax(both / (n[jj] + n[k]))]]
                 if len(jj):
-                    found.append(_unique(np.full(len(jj), e["node"][s + k]), e["node"][jj]))
+                    found.append(_unique(np.full(len(jj), e["node"][k]), e["node"][jj]))
         p = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
         return pa.Table.from_batches([_packed_pairs(p, parts)])
 
@@ -409,9 +402,9 @@ def link(docs: DataFrame) -> DataFrame:
     found = stored(survey(docs), "survey")
     own = found.where("part is null").select("doc_id", "node", "n", "cuts")
     nodes = stored(own.where("node is not null and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("cuts").alias("cuts")), "nodes")
-    total = nodes.agg(F.sum(F.col("n") / 4 + 1)).first()[0] or 0
-    parts = max(8, int(total // PART_ROWS))
-    first = stored(candidates(prefixes(docs, frequencies(found), parts).repartition(parts, "part"), parts), "first")
+    entries = nodes.agg(F.sum(F.col("n") / 4 + 1)).first()[0] or 0
+    parts = max(8, int(entries // PART_ROWS))
+    first = stored(candidates(prefixes(docs, total(found.where("part is not null"), 1 << FREQ_BITS), parts).repartition(parts, "part"), parts), "first")
     edges = verify(docs, nodes, distinct_pairs(first.where("block is null").select("part", "pairs")))
     big = first.where("block is not null").select("block", F.monotonically_increasing_id().alias("home"))
     big = stored(big, "big")
