@@ -507,3 +507,16 @@ def op2_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     out = cut_texts(docs)
     return out.select("doc_id", "suffix_dedup.n_bytes", "suffix_dedup.n_removed", "suffix_dedup.n_spans", F.sha2(F.col("suffix_dedup.kept"), 256).alias("kept_sha256"))
+
+
+#: Windows by md5, islands of those that occur twice.
+ORACLE_SQL = """
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, encode(coalesce(text, '')) AS b FROM documents),
+w AS (SELECT r, i, md5(b[i:i + 199]) AS h FROM d, unnest(range(1, octet_length(b) - 198)) t(i)),
+s AS (SELECT r, i FROM (SELECT *, count(*) OVER (PARTITION BY h) AS n FROM w) WHERE n > 1),
+g AS (SELECT r, i, sum(new) OVER (PARTITION BY r ORDER BY i) AS g FROM (SELECT r, i, CASE WHEN i - lag(i) OVER (PARTITION BY r ORDER BY i) <= 200 THEN 0 ELSE 1 END AS new FROM s)),
+m AS (SELECT r, g, min(i) AS a, max(i) + 199 AS e FROM g GROUP BY r, g),
+k AS (SELECT r, list(a ORDER BY a) AS a, list(e ORDER BY a) AS e, sum(e - a + 1)::BIGINT AS n_removed, count(*) AS n_spans FROM m GROUP BY r)
+SELECT doc_id, octet_length(b)::BIGINT AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+  sha256(CASE WHEN a IS NULL THEN b ELSE list_reduce(list_transform(range(1, len(a) + 2), lambda i: b[(CASE WHEN i = 1 THEN 1 ELSE e[i - 1] + 1 END):(CASE WHEN i > len(a) THEN octet_length(b) ELSE a[i] - 1 END)]), lambda x, y: x || y) END) AS kept_sha256
+FROM d LEFT JOIN k USING (r)"""

@@ -197,3 +197,26 @@ def quality(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, float, Data
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     _, least, scores = quality(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return scores.withColumn("kept", ~F.col("base_failed") & (F.col("score") >= least))
+
+
+#: For BUCKETS = 65536, SCALE = 65536, BINS = 1600, BIN = 0.01, REJECT_COST = 4, DEFAULT_THRESHOLD = -0.5.
+ORACLE_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
+w AS (SELECT r, list_filter(string_split_regex(text, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l, text FROM d),
+t AS (SELECT r, i, count(*) OVER (PARTITION BY r, k) AS n FROM (SELECT r, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS k FROM w, unnest(range(1, len(w) - 1)) u(i))),
+p AS (SELECT r, count(DISTINCT i + j) AS n_repeat_words FROM t, unnest([0, 1, 2]) u(j) WHERE n > 1 GROUP BY r),
+b AS (SELECT r, len(w) AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::BIGINT AS word_chars, length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS n_symbols, len(l) - len(list_distinct(l)) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words FROM w LEFT JOIN p USING (r)),
+f AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM b),
+y AS (SELECT r, list_transform(range(1, octet_length(h) + 1), lambda i: ('0x' || hex(h[i:i]))::BIGINT) AS v FROM (SELECT r, encode(text) AS h FROM d)),
+g AS (SELECT r, unnest(list_transform(range(1, len(v) - 2), lambda i: ((v[i] + v[i + 1] * 256 + v[i + 2] * 65536 + v[i + 3] * 16777216) * 2654435761 % 4294967296) // 65536)) AS k FROM y),
+c AS (SELECT k, count(*) AS raw, count(*) FILTER (doc_id IN (SELECT doc_id FROM labels WHERE quality = 1)) AS good FROM g JOIN d USING (r) GROUP BY k),
+z AS (SELECT sum(raw) + 65536 AS raw_all, sum(good) + 65536 AS good_all, sum(good) AS goods FROM c),
+x AS (SELECT k, CASE WHEN goods = 0 THEN 0 ELSE round((ln((good + 1)::DOUBLE / good_all) - ln((raw + 1)::DOUBLE / raw_all)) * 65536)::BIGINT END AS weight FROM c, z),
+s AS (SELECT r, sum(weight)::BIGINT::DOUBLE / count(*) / 65536 AS score FROM g JOIN x USING (k) GROUP BY r),
+q AS (SELECT f.*, doc_id, coalesce(score, 0) AS score FROM f JOIN d USING (r) LEFT JOIN s USING (r)),
+h AS (SELECT least(greatest(floor(score / 0.01::DOUBLE) + 800, 0), 1599)::INT AS bin, count(*) FILTER (quality = 1) AS good, count(*) FILTER (quality = 0) AS bad FROM q JOIN (SELECT DISTINCT doc_id, quality FROM labels WHERE quality IS NOT NULL) USING (doc_id) WHERE NOT base_failed GROUP BY 1),
+n AS (SELECT bin, sum(coalesce(good, 0)) OVER o AS good, sum(coalesce(bad, 0)) OVER o AS bad FROM (SELECT unnest(range(1600))::INT AS bin) LEFT JOIN h USING (bin) WINDOW o AS (ORDER BY bin ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+e AS (SELECT bin, coalesce(bad, 0) / (SELECT sum(bad) FROM h)::DOUBLE - 4 * (coalesce(good, 0) / (SELECT sum(good) FROM h)::DOUBLE) AS gain FROM n),
+m AS (SELECT list(bin ORDER BY bin) AS bins FROM e WHERE gain >= (SELECT max(gain) FROM e) - 1e-12),
+v AS (SELECT CASE WHEN (SELECT coalesce(least(sum(good), sum(bad)), 0) FROM h) = 0 THEN -0.5::DOUBLE ELSE (bins[len(bins) // 2 + 1] - 800) * 0.01::DOUBLE END AS least_score FROM m)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, score, NOT base_failed AND score >= least_score AS kept FROM q, v"""

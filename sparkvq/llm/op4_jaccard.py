@@ -423,3 +423,15 @@ def link(docs: DataFrame) -> DataFrame:
 
 def op4_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return link(documents(spark, sf_dir))
+
+
+#: All pairs that share a shingle, and the links' closure.
+ORACLE_SQL = r"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+s AS (SELECT DISTINCT r, unnest(CASE WHEN len(w) >= 5 THEN list_transform(generate_series(1, len(w) - 4), lambda i: array_to_string(w[i:i + 4], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS s FROM d),
+n AS (SELECT r, count(*) AS n FROM s GROUP BY r),
+p AS (SELECT x.r AS a, y.r AS b, count(*) AS shared FROM s x JOIN s y ON x.s = y.s AND x.r <> y.r GROUP BY x.r, y.r),
+l AS (SELECT a, b FROM p JOIN n na ON na.r = a JOIN n nb ON nb.r = b WHERE 100 * shared >= 75 * (na.n + nb.n - shared)),
+c(r, x) AS (SELECT r, r FROM d UNION SELECT c.r, l.b FROM c JOIN l ON l.a = c.x),
+m AS (SELECT c.r, min(d.doc_id) AS component_id FROM c JOIN d ON d.r = c.x GROUP BY c.r)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id FROM d LEFT JOIN n USING (r) JOIN m USING (r)"""
