@@ -18,14 +18,14 @@ def components(edges: DataFrame) -> DataFrame:
     smaller neighbour, their number never grows beyond that of the edges and nodes, and they end as stars.
     Each round is written to the shared folder, so lineage stays short and no executor is needed twice.
     """
-    now = stored(edges.selectExpr("greatest(a, b) a", "least(a, b) b").where("a <> b").distinct(), "edges")
+    now = stored(edges.selectExpr("greatest(a, b) a", "least(a, b) b").where("a <> b").distinct(), "edges", small=True)
     state = None
     for _ in range(MAX_ROUNDS):
         both = now.unionByName(now.selectExpr("b a", "a b"))
         least = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m"))
         large = both.where("b > a").join(least, "a").selectExpr("b a", "m b").where("a <> b").distinct()
         small = large.groupBy("a").agg(F.min("b").alias("m"))
-        after = stored(large.join(small, "a").selectExpr("b a", "m b").unionByName(small.selectExpr("a", "m b")).where("a <> b").distinct(), "edges")
+        after = stored(large.join(small, "a").selectExpr("b a", "m b").unionByName(small.selectExpr("a", "m b")).where("a <> b").distinct(), "edges", small=True)
         unlink(now)
         now = after
         found = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()

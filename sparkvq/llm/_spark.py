@@ -32,9 +32,14 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{at.rstrip('/')}/sparkvq"
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """df written to the shared folder and read back: lineage ends there, and a lost executor loses nothing."""
+def stored(df: DataFrame, name: str, small: bool = False) -> DataFrame:
+    """df written to the shared folder and read back: lineage ends there, and a lost executor loses nothing.
+
+    small: of keys or pairs where shuffles are sized for texts; an eighth as many files as partitions.
+    """
     spark = df.sparkSession
+    if small:
+        df = df.coalesce(max(4, int(spark.conf.get("spark.sql.shuffle.partitions")) // 8))
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

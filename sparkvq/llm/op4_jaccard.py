@@ -362,9 +362,9 @@ def verify(docs: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
     def may(na: pa.Array, nb: pa.Array, ca: pa.Array, cb: pa.Array) -> pa.Array:
         return pa.array(suffix_filter(na.to_numpy(), nb.to_numpy(), ca.to_pylist(), cb.to_pylist()))
 
-    left = stored(pairs.join(cuts("a"), "a").join(cuts("b"), "b").where(may("n_a", "n_b", "cuts_a", "cuts_b")).select("a", "b"), "pairs")
+    left = stored(pairs.join(cuts("a"), "a").join(cuts("b"), "b").where(may("n_a", "n_b", "cuts_a", "cuts_b")).select("a", "b"), "pairs", small=True)
     need = left.selectExpr("a node").unionByName(left.selectExpr("b node")).distinct().join(nodes.select("node", "doc_id"), "node")
-    need = stored(need, "need")
+    need = stored(need, "need", small=True)
     texts = docs.where("doc_id is not null")
     wanted = texts.join(F.broadcast(need) if need.count() <= SEND_IDS else need, "doc_id").select("node", "text")
 
@@ -391,7 +391,7 @@ def verify(docs: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
         return pa.array(out, pa.bool_())
 
     side = lambda k: own.selectExpr(f"node {k}", f"s s_{k}")
-    return stored(left.join(side("a"), "a").join(side("b"), "b").where(alike("s_a", "s_b")).select("a", "b"), "edges")
+    return stored(left.join(side("a"), "a").join(side("b"), "b").where(alike("s_a", "s_b")).select("a", "b"), "edges", small=True)
 
 
 def link(docs: DataFrame) -> DataFrame:
@@ -407,10 +407,10 @@ def link(docs: DataFrame) -> DataFrame:
     first = stored(candidates(prefixes(docs, total(found.where("part is not null"), 1 << FREQ_BITS), parts).repartition(parts, "part"), parts), "first")
     edges = verify(docs, nodes, distinct_pairs(first.where("block is null").select("part", "pairs")))
     big = first.where("block is not null").select("block", F.monotonically_increasing_id().alias("home"))
-    big = stored(big, "big")
+    big = stored(big, "big", small=True)
     for best in () if big.isEmpty() else (True, False):
         rooted = nodes.select("node", "cuts").join(components(edges), "node", "left").withColumn("root", F.coalesce("root", "node"))
-        more = stored(second_pairs(big, rooted, parts, best), "second")
+        more = stored(second_pairs(big, rooted, parts, best), "second", small=True)
         if more.isEmpty():
             break
         edges = edges.unionByName(verify(docs, nodes, more))
