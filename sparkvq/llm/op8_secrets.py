@@ -1,9 +1,12 @@
 """Secret scans: fixed patterns, and a battery of randomness tests with false-discovery control.
 
 Base spans come from three patterns (assign, access, hex). The method adds spans of kind
-`random`: maximal runs of LEAST or more characters of the base64 alphabets that overlap no base
-span. A run's encoding is the smallest alphabet that holds it. Against uniform draws from that
-alphabet it must pass three tests at level PASS: chi-squared uniformity, runs (changes between
+`random`: runs of LEAST or more characters of the base64 alphabets that overlap no base
+span. A maximal run is cut at each inner "=" (`name=token`); a piece is tested whole and in the runs
+between "-" and "_", between "+" and "/", and between all four, as a token stands in a path or after a
+name. Of runs that overlap, the likeliest is kept; as at most OVER tests lie over a place, a part
+pays a factor of OVER. A run's encoding is the smallest alphabet that holds it. Against uniform draws from
+that alphabet it must pass three tests at level PASS: chi-squared uniformity, runs (changes between
 character classes) and lag-one serial correlation. Such a pass says little for a short run,
 so each run also gets the probability that word-like text looks as random: the lower
 tail of chi-squared under the letter frequencies of prose, and the upper tail of the class
@@ -21,8 +24,10 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -40,6 +45,10 @@ HEX = re.compile(r"[0-9a-f]{16,}")
 RUN = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
 LEAST, PASS, FDR, MAX_WEIGHT = 20, 1e-4, 0.01, 4.0
 BINS, BIN = 30_000, 0.01
+#: Tests over one place: the piece, and the runs between the separators of each of SPLITS.
+SPLITS = [re.compile(r"[^-_]+"), re.compile(r"[^+/]+"), re.compile(r"[^-_+/]+")]
+PIECE = re.compile(r"[^=]+(?:=+\Z)?")
+OVER = 1 + len(SPLITS)
 #: Of prose: sum of squared letter frequencies, and class changes for each character.
 PROSE_SQUARES, PROSE_CHANGES = 0.066, 0.08
 
@@ -128,6 +137,30 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return out
 
 
+def candidates(text: str, a: int, b: int, starts: list[int], ends: list[int]) -> list[tuple[int, int, float]]:
+    """Of a piece [a, b) without inner "=": runs that overlap neither a base span nor each other, with -log10 p over its weight.
+
+    starts: of the base spans, ascending; ends: the greatest end up to each.
+    """
+    tried = {(a, b): 0.0}
+    for split in SPLITS:
+        for m in split.finditer(text, a, b):
+            tried.setdefault(m.span(), math.log10(OVER))
+    found = []
+    for (x, y), price in tried.items():
+        if y - x < LEAST or ((i := bisect_left(starts, y)) and ends[i - 1] > x):
+            continue
+        tests, logp = battery(text[x:y])
+        passed = min(tests) >= PASS
+        found.append((max(0.0, logp + math.log10(min(MAX_WEIGHT, (y - x) / LEAST)) - price) if passed else 0.0, x, y))
+    out: list[tuple[int, int, float]] = []
+    for logp, x, y in sorted(found, key=lambda f: (-f[0], f[1], -f[2])):
+        i = bisect_left(out, (x,))
+        if (i == 0 or out[i - 1][1] <= x) and (i == len(out) or y <= out[i][0]):
+            out.insert(i, (x, y, logp))
+    return out
+
+
 def scan(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, float]]]:
     """Base spans (start, kind, end) in order; candidates (start, end, -log10 p over its weight)."""
     base, runs = base_spans(text), []
@@ -137,15 +170,10 @@ def scan(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, fl
         if b - a >= LEAST:
             runs.append((a, b))
     base.sort()
-    out = []
+    starts, ends, out = [h[0] for h in base], list(accumulate((h[2] for h in base), max)), []
     for a, b in runs:
-        if any(s < b and a < e for s, _, e in base):
-            continue
-        tests, logp = battery(text[a:b])
-        if min(tests) >= PASS:
-            out.append((a, b, logp + math.log10(min(MAX_WEIGHT, (b - a) / LEAST))))
-        else:
-            out.append((a, b, 0.0))
+        for m in PIECE.finditer(text[a:b]):
+            out += candidates(text, a + m.start(), a + m.end(), starts, ends)
     return base, out
 
 

@@ -435,6 +435,31 @@ def test_secrets(spark, odd, odd_rows, empty):
     assert longer == sorted(longer)
 
 
+def test_secrets_beside_names_and_in_paths(spark):
+    from sparkvq.llm import op8_secrets as m
+
+    rng = np.random.Generator(np.random.PCG64(8))
+    b62 = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    forms = ["auth={}", "sig={}", "AWS_SECRET_ACCESS_KEY={}", "/some-path/{}", "my-files/of_mine/{}/etc", "name_{}"]
+    planted = []
+    for k, form in enumerate(forms):
+        for i in range(20):
+            t = "".join(rng.choice(list(b62 if "path" in form or "files" in form else b62 + "+/"), 38))
+            t = t if form.startswith(("/", "my")) else f"{t[:19]}+/{t[19:]}"
+            planted.append((100 * k + i, f"prose é before {form.format(t)} and after", t))
+    prose = [(10_000 + i, "a-long-hyphenated-word/of-some-prose/that_goes_on=andonandonandonandonandon/without-end") for i in range(20)]
+    got = {r.doc_id: r for r in m.secrets(spark.createDataFrame([p[:2] for p in planted] + prose, "doc_id long, text string")).collect()}
+    for k, form in enumerate(forms):
+        hit = 0
+        for i, text, t in planted[20 * k : 20 * k + 20]:
+            at = text.index(t)
+            spans = [tuple(map(int, x.split(":")[1:])) for x in got[i].spans.split(",") if x.startswith("random")]
+            assert all(x < y for (_, x), (y, _) in zip(spans, spans[1:], strict=False))
+            hit += any(a <= at and at + len(t) <= b for a, b in spans)
+        assert hit >= 16, form
+    assert sum(got[i].n_random for i, _ in prose) == 0
+
+
 def test_secrets_query(spark, sf_dir):
     from sparkvq.llm.op8_secrets import KINDS, op8_secrets
 
