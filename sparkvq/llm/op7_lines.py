@@ -4,15 +4,18 @@ Each line has a hash (the first 32 bits of its md5); a rolling hash over the las
 ends a chunk after a line where it is 0 modulo CUT. The rule looks at nothing else, so lines
 put in before a passage shift no boundary in it. A chunk of LEAST_LINES lines or more that has a word
 and that occurs elsewhere in the table, same document included, is removed everywhere but at its
-first place (least doc_id, then line). Equal 128-bit hashes only name candidates: the
+first place (least doc_id, then hash of the text, then line). Equal 128-bit hashes only name candidates: the
 bytes of every candidate are then compared, by grouping on the chunk's text itself.
 
 Only hashes are shuffled, and the texts of repeated chunks, summed before the shuffle: a chunk that a
 third of all rows hold costs a row for each task. The lists of removed chunks meet the documents
 by a broadcast join up to SEND_ROWS documents, beyond it by a shuffle join.
 
-Edge cases: a null text is empty, one empty line; rows with one doc_id are decided alike (their first
-place is the same), a null doc_id counts as the least; blank chunks are never removed; extra columns of docs pass through.
+A row is known by its doc_id and a 64-bit hash of its text, so rows without an id or with a repeated one
+are decided each by its own text. Of rows equal in both, the first as stored counts as the
+earlier; only those rows are written anew, with a number.
+
+Edge cases: a null text is empty, one empty line; a null doc_id counts as the least; blank chunks are never removed; extra columns of docs pass through.
 """
 
 from __future__ import annotations
@@ -22,7 +25,7 @@ import struct
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._spark import arrow, documents, stored
@@ -31,6 +34,8 @@ WINDOW, CUT, LEAST_LINES = 2, 3, 2
 SEND_ROWS = 2_000_000
 _BASE = 31
 NO_ID = -(1 << 63)
+#: What a row is known by.
+ROW = ["doc_id", "digest"]
 
 
 def chunks(text: bytes) -> list[tuple[int, int, bytes]]:
@@ -53,47 +58,58 @@ def _eligible(n: int, chunk: bytes) -> bool:
     return n >= LEAST_LINES and bool(chunk.strip(b" \t\n\v\f\r"))
 
 
+def _row(docs: DataFrame) -> list[Column]:
+    """The columns ROW of docs."""
+    return [F.coalesce(docs["doc_id"].cast("long"), F.lit(NO_ID)), F.xxhash64(F.coalesce(docs["text"].cast("string"), F.lit("")))]
+
+
 def _texts(docs: DataFrame) -> DataFrame:
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return docs.select(*[c.alias(n) for c, n in zip(_row(docs), ROW, strict=True)], F.col("text").cast("string").alias("text"))
 
 
 def removals(docs: DataFrame) -> DataFrame:
-    """(doc_id, removed): first lines of the chunks that go, for each document that loses any."""
+    """(doc_id, digest, removed, copies): first lines of the chunks that go, for each row that loses any.
+
+    copies: where several rows are equal in doc_id and digest, what all but the first of them lose; else null.
+    """
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                rows += [(doc_id, at, *struct.unpack("<qq", hashlib.md5(c).digest())) for at, n, c in chunks((text or "").encode("utf-8")) if _eligible(n, c)]
-            columns = list(zip(*rows, strict=True)) or [()] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["doc_id", "line", "h1", "h2"])
+            for doc_id, digest, text in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+                rows += [(doc_id, digest, at, *struct.unpack("<qq", hashlib.md5(c).digest())) for at, n, c in chunks((text or "").encode("utf-8")) if _eligible(n, c)]
+            columns = list(zip(*rows, strict=True)) or [()] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], [*ROW, "line", "h1", "h2"])
 
     texts = _texts(docs)
-    places = stored(texts.mapInArrow(hashed, "doc_id long, line long, h1 long, h2 long"), "chunks")
-    key, place = ["h1", "h2"], F.struct("doc_id", "line")
+    places = stored(texts.mapInArrow(hashed, "doc_id long, digest long, line long, h1 long, h2 long"), "chunks")
+    key, place = ["h1", "h2"], F.struct(*ROW, "line")
     first = places.groupBy(*key).agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
     again = stored(places.join(first, key), "repeated")
-    wanted = again.groupBy("doc_id").agg(F.collect_set("line").alias("lines"))
+    wanted = stored(again.groupBy(*ROW).agg(F.collect_set("line").alias("lines"), F.count("*").alias("n")), "wanted")
 
     def bytes_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for doc_id, text, lines in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+            for doc_id, digest, text, lines in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
                 keep = set(lines)
-                rows += [(doc_id, at, c) for at, _, c in chunks((text or "").encode("utf-8")) if at in keep]
-            columns = list(zip(*rows, strict=True)) or [()] * 3
-            yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.binary())], ["doc_id", "line", "chunk"])
+                rows += [(doc_id, digest, at, c) for at, _, c in chunks((text or "").encode("utf-8")) if at in keep]
+            columns = list(zip(*rows, strict=True)) or [()] * 4
+            yield pa.RecordBatch.from_arrays([*[pa.array(c, pa.int64()) for c in columns[:3]], pa.array(columns[3], pa.binary())], [*ROW, "line", "chunk"])
 
-    found = texts.join(sent(wanted), "doc_id").select("doc_id", "text", "lines").mapInArrow(bytes_of, "doc_id long, line long, chunk binary")
+    found = texts.join(sent(wanted.drop("n")), ROW).select(*ROW, "text", "lines").mapInArrow(bytes_of, "doc_id long, digest long, line long, chunk binary")
     # byte comparison: texts of equal hash are one group only if all their bytes are equal
     same = stored(found.groupBy("chunk").agg(F.min(place).alias("least"), F.count("*").alias("n")), "compared")
     hashes = same.withColumn("h", F.md5("chunk"))
     differ = hashes.groupBy("h").agg(F.count("*").alias("texts")).where("texts > 1")
-    gone = again.where(place != F.col("first")).select("doc_id", "line")
+    gone = again.where(place != F.col("first")).select(*ROW, "line")
     if not differ.isEmpty():  # texts that share a hash are decided by their bytes alone
-        exact = found.join(hashes.join(differ, "h").select("chunk", "least"), "chunk").select("doc_id", "line", "least")
-        gone = gone.join(exact.select("doc_id", "line"), ["doc_id", "line"], "left_anti").unionByName(exact.where(place != F.col("least")).select("doc_id", "line"))
-    return stored(gone.groupBy("doc_id").agg(F.collect_set("line").alias("removed")), "removed")
+        exact = found.join(hashes.join(differ, "h").select("chunk", "least"), "chunk").select(*ROW, "line", "least")
+        gone = gone.join(exact.select(*ROW, "line"), [*ROW, "line"], "left_anti").unionByName(exact.where(place != F.col("least")).select(*ROW, "line"))
+    gone = gone.groupBy(*ROW).agg(F.collect_set("line").alias("removed"))
+    # a chunk at one line of two rows: rows equal in ROW, all of whose chunks are in wanted
+    copies = wanted.where(F.col("n") > F.size("lines")).select(*ROW, F.col("lines").alias("copies"))
+    return stored(gone.withColumn("copies", F.lit(None).cast("array<long>")) if copies.isEmpty() else gone.join(copies, ROW, "full_outer"), "removed")
 
 
 def sent(df: DataFrame) -> DataFrame:
@@ -119,12 +135,23 @@ def deduplicated(docs: DataFrame) -> DataFrame:
         return pa.StructArray.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["n_lines", "n_chunks", "n_removed_chunks", "n_removed_lines", "kept"])
 
     gone = removals(docs)
-    lists = gone.select(F.col("doc_id").alias("lines_dedup_id"), F.col("removed").alias("lines_dedup_removed"))
+    lists = gone.select(*[F.col(c).alias(f"lines_dedup_{c}") for c in (*ROW, "removed", "copies")])
     if lists.count() <= SEND_ROWS:
         lists = F.broadcast(lists)
-    own = F.coalesce(docs["doc_id"].cast("long"), F.lit(NO_ID))
-    joined = docs.join(lists, own == F.col("lines_dedup_id"), "left")
-    return joined.withColumn("lines_dedup", kept_text(docs["text"].cast("string"), F.col("lines_dedup_removed"))).drop("lines_dedup_removed", "lines_dedup_id")
+    own = [c == F.col(f"lines_dedup_{n}") for c, n in zip(_row(docs), ROW, strict=True)]
+    joined = docs.join(lists, own, "left")
+    if not gone.where("copies is not null").isEmpty():
+        joined = joined.where("lines_dedup_copies is null").unionByName(_after_first(joined.where("lines_dedup_copies is not null")))
+    return joined.withColumn("lines_dedup", kept_text(F.col("text").cast("string"), F.col("lines_dedup_removed"))).select(*docs.columns, "lines_dedup")
+
+
+def _after_first(joined: DataFrame) -> DataFrame:
+    """joined, where all but the first of the rows that are equal in ROW have copies as removed."""
+    row = [f"lines_dedup_{c}" for c in ROW]
+    rows = stored(joined.withColumn("lines_dedup_row", F.monotonically_increasing_id()), "copies")
+    first = sent(rows.groupBy(*row).agg(F.min("lines_dedup_row").alias("lines_dedup_first")))
+    removed = F.when(F.col("lines_dedup_row") == F.col("lines_dedup_first"), F.col("lines_dedup_removed")).otherwise(F.col("lines_dedup_copies"))
+    return rows.join(first, row).withColumn("lines_dedup_removed", removed).select(*joined.columns)
 
 
 def op7_lines(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -385,6 +385,27 @@ def test_line_dedup(spark, odd, odd_rows, empty, monkeypatch):
     assert m.deduplicated(empty).count() == 0
 
 
+@pytest.mark.parametrize("most", [2_000_000, 0])
+def test_line_dedup_by_row(spark, monkeypatch, most):
+    """Rows without an id, or with one id, lose only what their own text repeats; of equal rows one stays whole."""
+    from sparkvq.llm import op7_lines as m
+
+    monkeypatch.setattr(m, "SEND_ROWS", most)
+    text = lambda k: "\n".join(f"line {i} of text {k}" for i in range(40))
+    ids = [None] * 12 + [7] * 8
+    rows_ = [(i, text(k)) for k, i in enumerate(ids)] + [(None, text(0)), (None, text(0)), (7, text(12)), (9, text(13)), (9, text(1) + "\nits own end\nof two lines")]
+    got = m.deduplicated(spark.createDataFrame(rows_, "doc_id long, text string").repartition(3)).selectExpr("doc_id", "text", "lines_dedup.kept").collect()
+    assert len(got) == len(rows_)
+    chunks = lambda t: [c for _, n, c in m.chunks(t.encode()) if n > 1]
+    left = Counter(c for r in got for c in chunks(r.text) if c.decode() in r.kept)
+    assert set(left) == {c for _, t in rows_ for c in chunks(t)}  # nothing unique is lost
+    assert sorted(r.kept == r.text for r in got if r.text == text(0)) == [False, False, True]
+    assert sorted(r.kept == r.text for r in got if r.text == text(12)) == [False, True]
+    for k in range(20):
+        assert any(r.kept == r.text and r.doc_id == ids[k] for r in got if r.text == text(k)), k
+    assert all(r.kept != r.text for r in got if r.doc_id == 9)
+
+
 def test_line_chunks_resist_shifts():
     from sparkvq.llm.op7_lines import chunks
 
