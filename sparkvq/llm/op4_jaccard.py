@@ -18,7 +18,8 @@ sets stays unconnected, and no group yields its square unless its members differ
 
 Edge cases: null or empty text, or white space alone: no shingles, no links, its own
 component; fewer than five words: the whole sequence is the one shingle; repeated rows are
-copies of each other; extra columns are ignored.
+copies of each other; rows without a doc_id link like others, and a component of such rows alone has a
+null component_id; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ from math import ceil
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._counts import PIECES, pieces, total
@@ -80,11 +81,11 @@ def suffix_filter(na: np.ndarray, nb: np.ndarray, ca: list[bytes], cb: list[byte
 
 
 def survey(docs: DataFrame) -> DataFrame:
-    """Per document (doc_id, node, n, cuts); and rows (part, freq) with pieces of the table of hashed counts."""
+    """Per document (doc_id, digest, node, n, cuts); and rows (part, freq) with pieces of the table of hashed counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         freq = np.zeros(1 << FREQ_BITS, np.uint32)
-        names = ["doc_id", "node", "n", "cuts", "part", "freq"]
+        names = ["doc_id", "digest", "node", "n", "cuts", "part", "freq"]
         for batch in batches:
             node, n, cuts = [], [], []
             for _, s in shingle_sets(batch.column(1)):
@@ -93,11 +94,11 @@ def survey(docs: DataFrame) -> DataFrame:
                 cuts.append(cut_counts(s))
                 np.add.at(freq, (s >> U64(64 - FREQ_BITS)).astype(np.int64), np.uint32(1))
             none = pa.nulls(len(n))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(node, pa.int64()), pa.array(n, pa.int64()), pa.array(cuts, pa.binary()), none.cast(pa.int32()), none.cast(pa.binary())], names)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(node, pa.int64()), pa.array(n, pa.int64()), pa.array(cuts, pa.binary()), none.cast(pa.int32()), none.cast(pa.binary())], names)
         none = pa.nulls(PIECES)
-        yield pa.RecordBatch.from_arrays([none.cast(pa.int64())] * 3 + [none.cast(pa.binary()), pa.array(range(PIECES), pa.int32()), pa.array(pieces(freq), pa.binary())], names)
+        yield pa.RecordBatch.from_arrays([none.cast(pa.int64())] * 4 + [none.cast(pa.binary()), pa.array(range(PIECES), pa.int32()), pa.array(pieces(freq), pa.binary())], names)
 
-    return docs.mapInArrow(run, "doc_id long, node long, n long, cuts binary, part int, freq binary")
+    return docs.mapInArrow(run, "doc_id long, digest long, node long, n long, cuts binary, part int, freq binary")
 
 
 def prefix(s: np.ndarray, freq: np.ndarray) -> np.ndarray:
@@ -353,7 +354,7 @@ def second_pairs(big: DataFrame, nodes: DataFrame, parts: int, best: bool) -> Da
 
 
 def verify(docs: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Edges (a, b) of pairs whose sets reach the threshold; nodes (node, doc_id, n, cuts) has one document of each set."""
+    """Edges (a, b) of pairs whose sets reach the threshold; nodes (node, n, cuts, row) has one document of each set, row (none, doc_id, digest)."""
     spark = docs.sparkSession
     cuts = lambda side: nodes.selectExpr(f"node {side}", f"n n_{side}", f"cuts cuts_{side}")
     t = THRESHOLD
@@ -363,23 +364,28 @@ def verify(docs: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
         return pa.array(suffix_filter(na.to_numpy(), nb.to_numpy(), ca.to_pylist(), cb.to_pylist()))
 
     left = stored(pairs.join(cuts("a"), "a").join(cuts("b"), "b").where(may("n_a", "n_b", "cuts_a", "cuts_b")).select("a", "b"), "pairs")
-    need = left.selectExpr("a node").unionByName(left.selectExpr("b node")).distinct().join(nodes.select("node", "doc_id"), "node")
-    need = stored(need, "need", small=True)
-    texts = docs.where("doc_id is not null")
-    wanted = texts.join(F.broadcast(need) if need.count() <= SEND_IDS else need, "doc_id").select("node", "text")
+    need = left.selectExpr("a node").unionByName(left.selectExpr("b node")).distinct().join(nodes.select("node", "row"), "node")
+    need = stored(need.select("node", F.coalesce("row.doc_id", F.lit(0)).alias("need_id"), F.col("row.digest").alias("need_digest")), "need", small=True)
+    n_need = need.count()
+    texts = docs.select("digest", "text", F.coalesce("doc_id", F.lit(0)).alias("id"))
+    wanted = texts.join(F.broadcast(need) if n_need <= SEND_IDS else need, (F.col("id") == F.col("need_id")) & (F.col("digest") == F.col("need_digest"))).select("node", "text")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for batch in batches:
             kept: list[int] = []
             out: list[bytes] = []
             nodes_here = batch.column(0).to_pylist()
             for i, s in shingle_sets(batch.column(1)):
-                if len(s) and node_of(s) == nodes_here[i]:
+                if len(s) and nodes_here[i] not in seen and node_of(s) == nodes_here[i]:
+                    seen.add(nodes_here[i])
                     kept.append(nodes_here[i])
                     out.append(s.tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(kept, pa.int64()), pa.array(out, pa.binary())], ["node", "s"])
 
     own = stored(wanted.mapInArrow(sets, "node long, s binary"), "sets")
+    if own.count() > n_need:  # rows equal in doc_id and text, in several tasks
+        own = stored(own.dropDuplicates(["node"]), "sets")
 
     @F.arrow_udf("boolean")
     def alike(x: pa.Array, y: pa.Array) -> pa.Array:
@@ -394,14 +400,25 @@ def verify(docs: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
     return stored(left.join(side("a"), "a").join(side("b"), "b").where(alike("s_a", "s_b")).select("a", "b"), "edges")
 
 
-def link(docs: DataFrame) -> DataFrame:
-    """Per row of docs (doc_id, n_shingles, component_id)."""
+def identified(docs: DataFrame) -> list[Column]:
+    """doc_id and digest, a hash of the text: what a row of docs is known by."""
+    return [docs["doc_id"].cast("long").alias("doc_id"), F.xxhash64(F.coalesce(docs["text"].cast("string"), F.lit(""))).alias("digest")]
+
+
+def known_by() -> Column:
+    """doc_id and digest as a struct that orders rows, those without a doc_id last."""
+    return F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest")
+
+
+def place(docs: DataFrame) -> DataFrame:
+    """Per row of docs (doc_id, digest, n, root): its shingles, and its component, null without shingles."""
     spark = docs.sparkSession
     arrow(spark)
-    docs = docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text")
+    doc_id, digest = identified(docs)
+    docs = docs.select(doc_id, F.col("text").cast("string").alias("text"), digest)
     found = stored(survey(docs), "survey")
-    own = found.where("part is null").select("doc_id", "node", "n", "cuts")
-    nodes = stored(own.where("node is not null and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("cuts").alias("cuts")), "nodes")
+    own = found.where("part is null").select("doc_id", "digest", "node", "n", "cuts")
+    nodes = stored(own.where("node is not null").groupBy("node").agg(F.min(known_by()).alias("row"), F.first("n").alias("n"), F.first("cuts").alias("cuts")), "nodes")
     entries = nodes.agg(F.sum(F.col("n") / 4 + 1)).first()[0] or 0
     parts = max(8, int(entries // PART_ROWS))
     first = stored(candidates(prefixes(docs, total(found.where("part is not null"), 1 << FREQ_BITS), parts).repartition(parts, "part"), parts), "first")
@@ -415,8 +432,13 @@ def link(docs: DataFrame) -> DataFrame:
             break
         edges = edges.unionByName(verify(docs, nodes, more))
     roots = components(edges)
-    placed = own.select("doc_id", "node", "n").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    placed = stored(placed.select("doc_id", "n", "root"), "placed")
+    placed = own.select("doc_id", "digest", "node", "n").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    return stored(placed.select("doc_id", "digest", "n", "root"), "placed")
+
+
+def link(docs: DataFrame) -> DataFrame:
+    """Per row of docs (doc_id, n_shingles, component_id)."""
+    placed = place(docs)
     least = placed.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("least"))
     return placed.join(least, "root", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"))
 

@@ -262,6 +262,29 @@ def test_jaccard_join(spark, odd, odd_rows, empty, monkeypatch, small):
     assert m.link(empty).count() == 0
 
 
+@pytest.mark.parametrize("small", [12, 2])
+def test_jaccard_join_without_ids(spark, monkeypatch, small):
+    """Rows without an id link each other and others, and connect two documents that have one."""
+    from sparkvq.llm import op4_jaccard as m
+
+    monkeypatch.setattr(m, "SMALL", small)
+    prose = lambda k: [f"w{k}x{i}" for i in range(80)]
+    edit = lambda w, at: " ".join([*w[:at], "edited", *w[at + 1 :]])
+    rows_ = [(None, edit(prose(0), 2 * i)) for i in range(14)] + [(None, edit(prose(0), 4))] * 3
+    rows_ += [(5, edit(prose(1), 40)), (3, edit(prose(1), 20)), (None, " ".join(prose(1)))]
+    a, b = prose(2)[:], prose(2)[:]
+    a[10], b[60], a[11], b[61] = "p", "q", "r", "s"
+    rows_ += [(20, " ".join(a)), (None, " ".join(prose(2))), (None, " ".join(prose(2))), (21, " ".join(b)), (30, " ".join(prose(3)[:40])), (30, " ".join(prose(4))), (31, edit(prose(4), 3)), (None, ""), (None, None)]
+    x, y = prose(5), prose(5)
+    x[5], y[70], x[20], y[40] = "p", "q", "r", "s"
+    rows_ += [(40, " ".join(x)), (None, " ".join(prose(5))), (41, " ".join(y))]
+    got = by(m.link(spark.createDataFrame(rows_, "doc_id long, text string").repartition(3)), "doc_id", "n_shingles", "component_id")
+    want = linked_by_brute_force(rows_)
+    alone = [(i, n, c) for i, n, c in linked_by_brute_force([r for r in rows_ if r[0] is not None])]
+    assert (41, 76, 40) in want and (41, 76, 41) in alone  # linked through a row without an id only
+    same(got, want)
+
+
 def test_jaccard_query(spark, sf_dir):
     from sparkvq.llm.op4_jaccard import op4_jaccard
 
