@@ -6,8 +6,12 @@ each class a document is cut into blocks of s grams and every two neighbours are
 that an item's passage lies whole in some window. With K hash functions the window's minima
 come from those of its blocks, and blocks of class 2s from those of class s: one pass over the
 grams serves all classes. A window that agrees with an item in any minimum (K bands of one
-row, which at this size ratio finds a containment of 0.75 with probability over 0.99999) is a
-candidate; then the item's distinct 5-word shingles are counted exactly in the whole document.
+row) is a candidate. An item of n distinct shingles, m of which make a containment of 0.75, has a similarity J of
+m / (2s + n - m) or more with a full window that holds m of them, and is missed there with probability (1 - J)^K.
+Items for which that is over MISS (those of 8 grams or fewer, and those with few distinct shingles for their
+class) are looked up exactly: their shingles are held against each gram, and any
+hit is a candidate. So no short item is missed, and of the others at most MISS of those whose shingles lie in
+one window; shingles strewn over more than a window may be missed more often. Then the item's distinct 5-word shingles are counted exactly in the whole document.
 
 Documents are read once and never shuffled; items go to the tasks in blocks of at most
 BLOCK_ITEMS (a query set), a pass for each block. Edge cases: texts or items that are null,
@@ -30,21 +34,33 @@ from ._spark import arrow, documents
 from ._text import LOWER, U64, gram_hash, prefix_hash, shingles, slices, span_hash, words
 
 N, K, LEAST_BLOCK = 5, 64, 16
+#: Items that the minima of a window would miss with a higher probability are looked up exactly.
+MISS = 1e-6
 #: A document holds an item if it has at least NUM / DEN of its shingles.
 NUM, DEN = 75, 100
 BLOCK_ITEMS = 50_000
 
 _A = np.random.Generator(np.random.PCG64(77)).integers(1, 2**63, K, dtype=np.uint64) | U64(1)
-_BITMAP = 1 << 16
+_BITMAP, _EXACT_BITMAP = 1 << 16, 1 << 22
+
+
+def miss(s: int, n: int) -> float:
+    """Greatest probability that no minimum of a window of 2s grams agrees with those of an item of n shingles that it holds."""
+    m = -(-NUM * n // DEN)
+    return (1 - m / (2 * s + n - m)) ** K
 
 
 @dataclass
 class Items:
-    """A block of items: ids, shingle sets, and by class the members and their minima (K x members)."""
+    """A block of items: ids, shingle sets, by class the members and their minima (K x members), and the rest exactly.
+
+    exact: shingles of the items that have no class, ascending, the item of each, and a bitmap of the shingles.
+    """
 
     ids: list[int]
     sets: list[np.ndarray]
     classes: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]
+    exact: tuple[np.ndarray, np.ndarray, np.ndarray]
 
     @classmethod
     def of(cls, ids: list[int], texts: list[str | None]) -> Items:
@@ -57,9 +73,11 @@ class Items:
             sets += list(shingles(w, span_hash(prefix_hash(data), w.starts, w.ends), N))
             grams += np.diff(w.at).tolist()
         by: dict[int, list[int]] = {}
+        rest: list[int] = []
         for k, n in enumerate(grams):
             if n:
-                by.setdefault(max(LEAST_BLOCK, 1 << max(0, n - N).bit_length()), []).append(k)
+                s = max(LEAST_BLOCK, 1 << max(0, n - N).bit_length())
+                (by.setdefault(s, []) if miss(s, len(sets[k])) <= MISS else rest).append(k)
         classes = {}
         for s, members in by.items():
             low = np.array([[int(((sets[k] * a) >> U64(32)).min()) for k in members] for a in _A], np.uint32)
@@ -67,7 +85,23 @@ class Items:
             for j in range(K):
                 bitmap[j, low[j] & np.uint32(_BITMAP - 1)] = True
             classes[s] = (np.array(members), low, bitmap)
-        return cls(ids, sets, classes)
+        tokens = np.concatenate([sets[k] for k in rest]) if rest else np.zeros(0, U64)
+        order = np.argsort(tokens, kind="stable")
+        bitmap = np.zeros(_EXACT_BITMAP, bool)
+        bitmap[tokens & U64(_EXACT_BITMAP - 1)] = True
+        return cls(ids, sets, classes, (tokens[order], np.repeat(np.array(rest, np.int64), [len(sets[k]) for k in rest])[order], bitmap))
+
+
+def exactly(g: np.ndarray, first: np.ndarray, exact: tuple[np.ndarray, np.ndarray, np.ndarray]) -> set[tuple[int, int]]:
+    """(text, item) where a gram of the text, grams g of which start at first, is a shingle of an item in exact."""
+    tokens, item, bitmap = exact
+    if not len(tokens):
+        return set()
+    some = np.flatnonzero(bitmap[g & U64(_EXACT_BITMAP - 1)])
+    lo, hi = np.searchsorted(tokens, g[some], "left"), np.searchsorted(tokens, g[some], "right")
+    of = np.searchsorted(first, some, "right") - 1
+    held = np.unique(np.stack([of, lo, hi], 1)[hi > lo], axis=0)
+    return {(d, int(k)) for d, a, b in held.tolist() for k in item[a:b]}
 
 
 def search(column: pa.Array, items: Items) -> Iterator[tuple[int, int, int]]:
@@ -82,24 +116,24 @@ def search(column: pa.Array, items: Items) -> Iterator[tuple[int, int, int]]:
             own = next(shingles(type(w)(w.starts, w.ends, w.at[i : i + 2]), h, N))
             yield from ((t.first + int(i), k, 1) for k, s in enumerate(items.sets) if len(s) == 1 and s[0] == own[0])
         docs = np.flatnonzero(n >= N)
-        if not len(docs) or not top:
+        if not len(docs):
             continue
         g = gram_hash(h, N)
         size, start = n[docs] - N + 1, w.at[docs]
         # grams of the texts one after another, without those across texts
         at = np.repeat(start - (np.cumsum(size) - size), size) + np.arange(size.sum())
         g = g[at]
-        blocks = -(-size // LEAST_BLOCK)
         first = np.cumsum(size) - size
+        found = exactly(g, first, items.exact)
+        blocks = -(-size // LEAST_BLOCK)
         local = np.arange(blocks.sum()) - np.repeat(np.cumsum(blocks) - blocks, blocks)
         cut = np.repeat(first, blocks) + local * LEAST_BLOCK
         low = np.empty((K, len(cut)), np.uint32)
-        for j in range(K):
+        for j in range(K if top else 0):
             low[j] = np.minimum.reduceat((g * _A[j]) >> U64(32), cut)
         of = np.repeat(np.arange(len(docs)), blocks)
-        found: set[tuple[int, int]] = set()
         s = LEAST_BLOCK
-        while True:
+        while top:
             if s in items.classes:
                 members, own, bitmap = items.classes[s]
                 window = low.copy()

@@ -381,6 +381,28 @@ def test_decontamination(spark, odd, odd_rows, empty, monkeypatch):
     assert m.contamination(empty, items).count() == 0 and m.contamination(odd, items.where("false")).count() == 0
 
 
+def test_decontamination_finds_short_items(spark):
+    """Items of 1 to 24 words, and one of few distinct shingles, in long documents: as by brute force."""
+    from sparkvq.llm import op6_decontaminate as m
+
+    rng = np.random.Generator(np.random.PCG64(6))
+    docs = [(i, " ".join(f"w{x}" for x in rng.integers(0, 10**6, 1200))) for i in range(150)]
+    held = []
+    for i, t in docs:
+        w = t.split(" ")
+        held += [(100 * i + j, " ".join(w[at : at + n])) for j, n in enumerate((5, 5, 5, 6, 7, 8, 9, 12, 24)) for at in [int(rng.integers(0, 1100))]]
+    docs.append((150, docs[0][1] + " a" * 30))
+    held += [(-1, "a " * 40), (-2, "no such five words"), (-3, "w1 w2"), (-4, held[0][1])]
+    want = []
+    for i, t in docs:
+        s = shingles(t)
+        want += [(i, k, len(x), len(s & x)) for k, y in held if (x := shingles(y)) and 100 * len(s & x) >= 75 * len(x)]
+    found = lambda items: by(m.contamination(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")), "doc_id", "item_id", "n_item", "n_shared")
+    same(found(held), want)
+    short = [(k, y) for k, y in held if len(y.split()) <= 8]  # no item has a class
+    same(found(short), [x for x in want if (x[1]) in {k for k, _ in short} and x[2] <= 4])
+
+
 @pytest.mark.parametrize("name", sorted(llm.oracle_sql()))
 def test_query_matches_sql(spark, sf_dir, tables, name):
     got, want = rows(llm.queries()[name](spark, sf_dir)), rows(tables.sql(llm.oracle_sql()[name]))
