@@ -5,19 +5,19 @@ Every stage works on all rows that the one before kept, and all but the last ret
 of documents. run() writes each stage to the shared folder and reads it again, as each is
 read several times by the next.
 
-Edge cases: a document that loses all its words to line dedup goes; rows with one doc_id are
-one document from the Jaccard join on; rows with a null doc_id are never taken for near copies; empty
-tables give empty results.
+Edge cases: a document that loses all its words to line dedup goes; rows with a
+repeated or null doc_id are decided each by its own text, so several of one id stay if their texts
+are not linked; of rows equal in id and text one stays; empty tables give empty results.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkvq.llm._spark import arrow, stored
 from sparkvq.llm.op3_quality import judged, quality
-from sparkvq.llm.op4_jaccard import link
+from sparkvq.llm.op4_jaccard import identified, known_by, place
 from sparkvq.llm.op6_decontaminate import holds_item
 from sparkvq.llm.op7_lines import deduplicated
 from sparkvq.llm.op10_sentencepiece import encode_documents
@@ -42,13 +42,26 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents linked by Jaccard similarity the one with the least doc_id."""
-    linked = stored(link(docs).select("doc_id", "component_id"), "linked")
-    gone = linked.where("doc_id is not null and doc_id <> component_id").select("doc_id").distinct()
-    left = docs.join(F.broadcast(gone) if gone.count() <= SEND_IDS else gone, docs["doc_id"].cast("long") == gone["doc_id"], "left_anti")
-    if linked.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty():
+    """Of rows linked by Jaccard similarity one: that of the least doc_id (none comes last), then of the least hash of its text."""
+    linked = place(docs).where("root is not null")
+    first = linked.groupBy("root").agg(F.min(known_by()).alias("first"), F.count("*").alias("n")).where("n > 1")
+    gone = linked.join(first, "root").where(known_by() != F.col("first"))
+    left = docs.join(*_rows(docs, gone, "gone"), "left_anti")
+    twice = linked.groupBy("doc_id", "digest").count().where("count > 1")
+    if twice.isEmpty():
         return left
-    return left.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(left.where("doc_id is null"))
+    again = _rows(docs, twice, "twice")
+    # equal in doc_id and text: of the other columns the least hash decides
+    same = left.join(*again, "left_semi")
+    one = same.groupBy(*[c.alias(f"of_{i}") for i, c in enumerate(identified(same))]).agg(F.min_by(F.struct(*docs.columns), F.xxhash64(*docs.columns)).alias("one"))
+    return left.join(*again, "left_anti").unionByName(one.select("one.*"))
+
+
+def _rows(docs: DataFrame, some: DataFrame, name: str) -> tuple[DataFrame, Column]:
+    """The rows (doc_id, digest) of some, to be joined to docs, and on what."""
+    keys = stored(some.selectExpr("doc_id near_id", "digest near_digest").distinct(), name)
+    doc_id, digest = identified(docs)
+    return F.broadcast(keys) if keys.count() <= SEND_IDS else keys, doc_id.eqNullSafe(keys["near_id"]) & (digest == keys["near_digest"])
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -75,3 +75,23 @@ def test_odd_rows(spark, odd, empty, tmp_path):
     for _, stage in corpus_pipeline.STAGES:
         docs = stage(spark, docs, str(tmp_path))
     assert docs.count() == 0
+
+
+def test_near_copies_by_row(spark):
+    """Rows of one id stay if their texts are not linked; near and exact copies without an id go."""
+    import corpus_pipeline
+
+    prose = lambda k: [f"w{k}x{i}" for i in range(80)]
+    edit = lambda k, at: " ".join([*prose(k)[:at], "edited", *prose(k)[at + 1 :]])
+    rows = [(1, edit(0, 9)), (2, edit(0, 30)), (2, " ".join(prose(1))), (2, " ".join(prose(2))), (2, edit(2, 7))]
+    rows += [(0, " ".join(prose(3))), (None, " ".join(prose(3))), (None, edit(3, 50))]
+    rows += [(None, edit(4, i)) for i in range(0, 60, 3)] + [(None, edit(4, 0))] * 3 + [(None, " ".join(prose(5)))]
+    rows += [(6, " ".join(prose(6))), (6, " ".join(prose(6)))]
+    docs = spark.createDataFrame([(i, t, f"source {k}") for k, (i, t) in enumerate(rows)], "doc_id long, text string, source string").repartition(3)
+    for most in (2_000_000, 0):
+        corpus_pipeline.SEND_IDS, before = most, corpus_pipeline.SEND_IDS
+        got = corpus_pipeline.one_of_near_copies(spark, docs, "").collect()
+        corpus_pipeline.SEND_IDS = before
+        of = sorted((-1 if r.doc_id is None else r.doc_id, int(r.text.split(" ")[1][1])) for r in got)
+        assert of == [(-1, 4), (-1, 5), (0, 3), (1, 0), (2, 1), (2, 2), (6, 6)]
+        assert all((r.doc_id, r.text) == rows[int(r.source.split()[1])] for r in got)
