@@ -1,4 +1,4 @@
-"""Optimal scalar codebooks: Lloyd-Max on a density, with guarded extrapolation."""
+"""Optimal scalar codebooks: the conditions of Lloyd and Max, solved by Newton's method."""
 
 from __future__ import annotations
 
@@ -27,39 +27,53 @@ class NoConvergence(RuntimeError):
     pass
 
 
-def _state(density: Density, c: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
-    """Thresholds between levels c, mass and moment of their cells, expected squared error."""
-    t = (c[:-1] + c[1:]) / 2
-    mass, moment = density.cells(t)
-    return t, mass, moment, max(0.0, float(density.variance - 2 * (c @ moment) + (c * c) @ mass))
+def _conditions(density: Density, c: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, float]:
+    """Of levels c: thresholds, mass and moment of the cells, half the error's gradient, the error itself."""
+    edges = (c[1:] + c[:-1]) / 2
+    mass, moment = density.cells(edges)
+    return edges, mass, moment, c * mass - moment, max(0.0, float(density.variance + np.sum(c * (c * mass - 2 * moment))))
 
 
-def solve(density: Density, levels: int, tolerance: float = 1e-15, max_iterations: int = 100_000, extrapolate: bool = True) -> Solution:
-    """Levels that no Lloyd step improves by more than tolerance, relative to the error.
+def _newton(density: Density, c: np.ndarray, edges: np.ndarray, mass: np.ndarray, gradient: np.ndarray) -> np.ndarray | None:
+    """Newton's step for the levels. A threshold moves half as far as each neighbour, so the Hessian is tridiagonal."""
+    pull = density.pdf(edges) * np.diff(c) / 4
+    h = np.diag(mass - np.append(pull, 0) - np.append(0, pull)) - np.diag(pull, 1) - np.diag(pull, -1)
+    try:
+        step = np.linalg.solve(h, -gradient)
+    except np.linalg.LinAlgError:
+        return None
+    # uphill: the error is not convex here
+    return step if np.isfinite(step).all() and step @ gradient < 0 else None
 
-    Convergence is linear with one slow mode, so every third step the last three iterates are
-    extrapolated (Aitken); the result is taken if it keeps the levels' order and lowers the error.
+
+def solve(density: Density, levels: int, tolerance: float = 1e-11, max_iterations: int = 100_000, extrapolate: bool = True) -> Solution:
+    """Levels that are the means of their cells, to tolerance standard deviations.
+
+    With extrapolate by Newton's method on these conditions: a step is halved until the levels stay in order and the
+    error falls, and where none does, or the step would lead uphill, each level moves to its cell's mean; else by means alone.
     """
     if levels < 2:
         raise ValueError("two levels or more")
     c = np.array([density.quantile((i + 0.5) / levels) for i in range(levels)])
-    t, mass, moment, error = _state(density, c)
-    past: list[np.ndarray] = []
-    for step in range(1, max_iterations + 1):
-        past = [*past[-1:], c]
-        c = np.where(mass > 0, moment / np.where(mass > 0, mass, 1), c)
-        t, mass, moment, after = _state(density, c)
-        gain, error = error - after, after
-        if extrapolate and len(past) == 2 and step % 3 == 0:
-            first, second = c - past[1], c - 2 * past[1] + past[0]
-            if (np.abs(second) >= 1e-300).all():
-                guess = c - first * first / second
-                if np.isfinite(guess).all() and (np.diff(guess) > 0).all():
-                    tried = _state(density, guess)
-                    if tried[3] < error:
-                        c, (t, mass, moment, error), past = guess, tried, []
-        if gain <= tolerance * abs(error):
-            return Solution(c, t, error, error / density.variance, step)
+    edges, mass, moment, gradient, error = _conditions(density, c)
+    for iteration in range(1, max_iterations + 1):
+        means = np.divide(moment, mass, out=c.copy(), where=mass > 0)
+        step = _newton(density, c, edges, mass, gradient) if extrapolate else None
+        after, near = None, step is not None and np.abs(step).max() < 1e-5 * density.scale
+        while step is not None and np.abs(step).max() > 1e-6 * np.abs(means - c).max():
+            tried = c + step
+            if (np.diff(tried) > 0).all() and max(-tried[0], tried[-1]) < density.support[1]:
+                after = _conditions(density, tried)
+                if near or after[4] < error:  # so near the end the error's digits tell nothing
+                    break
+                after = None
+            step = step / 2
+        moved = step if after is not None else means - c
+        c = c + moved
+        edges, mass, moment, gradient, error = after if after is not None else _conditions(density, c)
+        # means alone converge linearly: what is left is many times the last move
+        if np.abs(moved).max() <= tolerance * density.scale * (1 if after is not None else 1e-2):
+            return Solution(c, edges, error, error / density.variance, iteration)
     raise NoConvergence(f"no convergence in {max_iterations} steps")
 
 
