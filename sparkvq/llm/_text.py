@@ -21,10 +21,13 @@ IS_SPACE = np.zeros(256, bool)
 IS_SPACE[[0x20, *range(0x09, 0x0E)]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
+_GRAM = [0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F]
 _P = 0x9E3779B97F4A7C15 | 1
 _PINV = pow(_P, -1, 1 << 64)
 _BYTE = np.random.Generator(np.random.PCG64(20240611)).integers(1, 2**63, 256, dtype=np.uint64)
 _pow: dict[str, np.ndarray] = {}
+#: Mask of the first n bytes of a little-endian word of eight.
+_MASK = np.array([(1 << 8 * n) - 1 for n in range(9)], U64)
 
 
 def _powers(kind: str, base: int, n: int) -> np.ndarray:
@@ -53,6 +56,35 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> U64(31))
 
 
+def _lanes(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place of data as a little-endian word, zeros after the end; no copy of each."""
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[: len(data)] = data
+    return np.ndarray((len(data) + 1,), "<u8", padded, 0, (1,))
+
+
+def span_hash(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hash of each data[start:end].
+
+    Each eight bytes are mixed with a number of their place before they are summed, so no
+    structure of a text (repeats, exchanged parts, sequences that cancel in polynomials) makes sums equal.
+    """
+    size = (ends - starts).astype(np.int64)
+    lane = _lanes(data)
+    if not len(size) or size.max() <= 8:
+        h = mix((lane[starts] & _MASK[size]) ^ U64(_GRAM[0]))
+    else:
+        n = np.maximum(-(-size // 8), 1)
+        first = np.cumsum(n) - n
+        k = np.arange(n.sum()) - np.repeat(first, n)
+        at = np.repeat(starts, n) + 8 * k
+        x = lane[np.minimum(at, len(data))] & _MASK[np.minimum(np.repeat(ends, n) - at, 8)]
+        salt = mix(np.arange(int(n.max()), dtype=U64) * U64(_GRAM[1]))
+        salt[0] = U64(_GRAM[0])
+        h = np.add.reduceat(mix(x ^ salt[k]), first)
+    return mix(h + size.astype(U64) * U64(0xD6E8FEB86659FD93))
+
+
 def prefix_hash(data: np.ndarray) -> np.ndarray:
     """H with (H[e] - H[s]) * P**-s a function of data[s:e] alone."""
     out = np.zeros(len(data) + 1, U64)
@@ -60,8 +92,11 @@ def prefix_hash(data: np.ndarray) -> np.ndarray:
     return out
 
 
-def span_hash(prefix: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hash of each data[start:end], the length mixed in."""
+def window_hash(prefix: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hash of each data[start:end], from the prefix hashes: for overlapping strings of a few hundred bytes.
+
+    Not for longer ones: polynomials modulo 2**64 have equal values on some sequences of 1024 bytes.
+    """
     h = (prefix[ends] - prefix[starts]) * _powers("i", _PINV, len(prefix))[starts]
     return mix(h + (ends - starts).astype(U64) * U64(0xD6E8FEB86659FD93))
 
@@ -127,9 +162,6 @@ def words(data: np.ndarray, offs: np.ndarray) -> Words:
     return Words(starts, np.flatnonzero(tail) + 1, np.searchsorted(starts, offs))
 
 
-_GRAM = [0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F]
-
-
 def gram_hash(h: np.ndarray, n: int) -> np.ndarray:
     """Hash of each n consecutive elements (n up to 5); len(h) - n + 1 of them."""
     m = max(0, len(h) - n + 1)

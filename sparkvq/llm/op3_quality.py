@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._spark import arrow, documents, stored
-from ._text import IS_SPACE, U64, Texts, gram_hash, mix, prefix_hash, slices, span_hash, words
+from ._text import IS_SPACE, U64, Texts, gram_hash, mix, slices, span_hash, words
 
 GRAM, BUCKETS, PARTS = 4, 1 << 16, 16
 #: Weights are multiples of 1 / SCALE.
@@ -60,7 +60,6 @@ def base_counts(t: Texts) -> list[np.ndarray]:
     """The columns of BASE for each text."""
     data, offs = t.data, t.offs
     w = words(data, offs)
-    prefix = prefix_hash(data)
     n_words = np.diff(w.at)
     solid = ~IS_SPACE[data] & ((data & 0xC0) != 0x80)
     starts, ends, at = lines(t)
@@ -68,11 +67,11 @@ def base_counts(t: Texts) -> list[np.ndarray]:
     of_line = np.repeat(np.arange(len(t)), np.diff(at))
     has = np.searchsorted(w.starts, ends) > np.searchsorted(w.starts, starts)
     starts, ends, of_line = starts[has], ends[has], of_line[has]
-    key = span_hash(prefix, starts, ends) + own[of_line]
+    key = span_hash(data, starts, ends) + own[of_line]
     order = np.argsort(key, kind="stable")
     same = key[order][1:] == key[order][:-1]
     dup = np.bincount(of_line[order[1:][same]], minlength=len(t))
-    h = span_hash(prefix, w.starts, w.ends)
+    h = span_hash(data, w.starts, w.ends)
     of_word = np.repeat(np.arange(len(t)), n_words)
     repeat = np.zeros(len(h) + 2, bool)
     if len(h) > 2:
