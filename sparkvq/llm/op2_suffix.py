@@ -27,9 +27,11 @@ suffixes that share a window; those of weight two or more are the repeated ones.
 of one shard is ever compared with one of another.
 
 A text is known by its hash: equal texts are transformed once and share their result, and with
-two or more equal texts every window of theirs is a repeat. Edge cases: null or empty texts and
+two or more equal texts every window of theirs is a repeat. Texts of equal hash whose md5 differ are found
+first and get another hash. Edge cases: null or empty texts and
 texts under LENGTH bytes lose nothing; matches never cross texts; rows with equal doc_id are
-separate texts; extra columns are ignored; an empty table gives no rows.
+separate texts; an empty table gives no rows; extra columns pass through under any name: where docs has a
+column `suffix_dedup`, the result's struct is called `suffix_dedup_`.
 """
 
 from __future__ import annotations
@@ -38,12 +40,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._counts import PIECES, pieces, total
-from ._spark import arrow, documents, stored
-from ._text import U64, Texts, prefix_hash, slices, span_hash
+from ._spark import arrow, documents, fresh, named, stored, unlink
+from ._text import U64, Texts, prefix_hash, slices, window_hash
 
 LENGTH, GRAM, SYMBOL = 200, 32, 50
 DEPTH = LENGTH // SYMBOL
@@ -57,7 +59,7 @@ COUNTS, COMMON = 1 << 20, 5_000
 BUNDLE = 64
 #: Text bytes for each part that runs are dealt to.
 PART_BYTES = 12_000_000
-#: Lists of up to this many bytes in all may be broadcast; beyond it they are joined by shuffle.
+#: Lists of up to this many bytes in all, as they lie in memory, may be broadcast; beyond it they are joined by shuffle.
 SEND_BYTES = 32_000_000
 
 RUN = np.dtype([("key", "<u8"), ("same", "<u8"), ("node", "<i8"), ("at", "<u4"), ("windows", "<u4"), ("weight", "<u4")])
@@ -70,7 +72,7 @@ def grams_of(t: Texts) -> tuple[np.ndarray, np.ndarray]:
     """Prefix hashes of the bytes, and the hash of the GRAM bytes from each place."""
     prefix = prefix_hash(t.data)
     starts = np.arange(max(0, len(t.data) - GRAM + 1))
-    return prefix, span_hash(prefix, starts, starts + GRAM)
+    return prefix, window_hash(prefix, starts, starts + GRAM)
 
 
 def bucket(gram: np.ndarray) -> np.ndarray:
@@ -118,7 +120,7 @@ def runs_of(t: Texts, common: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.nd
     first = np.flatnonzero(first)
     count = np.diff(np.concatenate([first, [len(place)]]))
     start = place[first]
-    return text[first], start - t.offs[text[first]], count, gram[anchor[first]], span_hash(prefix, start, start + count + LENGTH - 1)
+    return text[first], start - t.offs[text[first]], count, gram[anchor[first]], window_hash(prefix, start, start + count + LENGTH - 1)
 
 
 def _blocks(rows: np.ndarray, key: np.ndarray, parts: int) -> tuple[list[int], list[bytes]]:
@@ -337,7 +339,7 @@ def repeated_windows(pieces: list[np.ndarray], windows: np.ndarray, weight: np.n
     has = q <= sizes[run] - SYMBOL
     at = start[run[has]] + q[has]
     symbol = np.zeros(len(q), np.int64)
-    symbol[has] = np.unique(span_hash(prefix, at, at + SYMBOL), return_inverse=True)[1] + 1
+    symbol[has] = np.unique(window_hash(prefix, at, at + SYMBOL), return_inverse=True)[1] + 1
     shards, members = [], []
     for k in range(min(n_shards, len(pieces))):
         mine = np.flatnonzero(run % n_shards == k)
@@ -451,14 +453,27 @@ def unbundled(bundles: DataFrame, hits: DataFrame) -> DataFrame:
     return bundles.join(hits.select("key", "same", "spans"), ["key", "same"]).select("members", "spans").mapInArrow(run, "node long, spans binary")
 
 
-def light(df: DataFrame, size: str) -> DataFrame:
-    """df for a broadcast join if its column size sums to no more than SEND_BYTES, else for a shuffle join."""
+def light(df: DataFrame, size: Column) -> DataFrame:
+    """df for a broadcast join if size sums to no more than SEND_BYTES, else for a shuffle join."""
     return F.broadcast(df) if (df.agg(F.sum(size)).first()[0] or 0) <= SEND_BYTES else df
 
 
-def spans_to_remove(docs: DataFrame) -> DataFrame:
-    """(node, spans, copies) for each text (by hash) that loses bytes; spans: lists of (start, end)."""
-    texts = docs.select(F.xxhash64("text").alias("node"), "text")
+def text_hash(text: Column, *salt: Column) -> Column:
+    return F.xxhash64(*salt, text)
+
+
+def node_of(docs: DataFrame) -> Column:
+    """A number for each text, equal for equal texts only: its hash, or another where unlike texts share that."""
+    plain = text_hash(docs["text"])
+    md5 = F.md5(docs["text"])
+    both = docs.where(F.octet_length(docs["text"]) >= LENGTH).select(plain.alias("node"), md5.alias("md5")).groupBy("node").agg(F.min("md5").alias("a"), F.max("md5").alias("b"))
+    shared = [r[0] for r in both.where("a <> b").select("node").collect()]  # none but by chance, one in 2**64 for each pair
+    return F.when(plain.isin(shared), F.xxhash64(F.lit("apart"), md5)).otherwise(plain) if shared else plain
+
+
+def spans_to_remove(docs: DataFrame, node: Column) -> DataFrame:
+    """(node, spans, copied) for each text that loses bytes; spans: (start, end) pairs, null for a text that occurs twice."""
+    texts = docs.select(node.alias("node"), docs["text"].alias("text"))
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(8, int(size // PART_BYTES))
     long = texts.where(F.octet_length("text") >= LENGTH)
@@ -473,33 +488,38 @@ def spans_to_remove(docs: DataFrame) -> DataFrame:
     spans = results.where("node is not null").select("node", "spans").unionByName(unbundled(bundles, results.where("key is not null")))
     copies = long.groupBy("node").count().where("count > 1").select("node", F.lit(True).alias("copied"))
     gone = spans.groupBy("node").agg(F.collect_list("spans").alias("spans")).join(copies, "node", "full")
-    return stored(gone.select("node", "spans", F.coalesce("copied", F.lit(False)).alias("copied")), "spans")
+    copied = F.coalesce("copied", F.lit(False))
+    out = stored(gone.select("node", F.when(~copied, F.aggregate("spans", F.lit(b""), lambda a, x: F.concat(a, x))).alias("spans"), copied.alias("copied")), "spans")
+    unlink(runs, found, want, results)
+    return out
 
 
 def cut_texts(docs: DataFrame) -> DataFrame:
     """docs (text a string without nulls) with a struct column `suffix_dedup`: n_bytes, n_removed, n_spans, kept (binary)."""
-    gone = spans_to_remove(docs)
-    sized = gone.withColumn("size", F.coalesce(F.aggregate("spans", F.lit(0), lambda a, x: a + F.length(x)), F.lit(0)) + 24)
+    number = node_of(docs)
+    gone = spans_to_remove(docs, number)
 
     @F.arrow_udf("n_bytes long, n_removed long, n_spans long, kept binary")
     def cut(text: pa.Array, spans: pa.Array, copied: pa.Array) -> pa.Array:
         rows = []
         for t, s, c in zip(text, spans, copied.to_pylist(), strict=True):
-            raw = t.as_py().encode("utf-8")
+            raw = t.as_buffer().to_pybytes()
             n = len(raw)
             if c and n >= LENGTH:
                 rows.append((n, n, 1, b""))
             elif s.is_valid:
-                m = merged_spans(np.concatenate([np.frombuffer(x.as_buffer(), SPAN) for x in s.values]))
+                m = merged_spans(np.frombuffer(s.as_buffer(), SPAN))
                 edges = [0, *m.view(np.uint32).tolist(), n]
                 rows.append((n, int((m["end"].astype(np.int64) - m["start"]).sum()), len(m), b"".join(raw[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True))))
             else:
                 rows.append((n, 0, 0, raw))
         return pa.StructArray.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*rows, strict=True)) or [()] * 4, [pa.int64()] * 3 + [pa.binary()], strict=True)], ["n_bytes", "n_removed", "n_spans", "kept"])
 
-    lists = light(sized, "size").select(F.col("node").alias("suffix_dedup_node"), F.col("spans").alias("suffix_dedup_spans"), F.col("copied").alias("suffix_dedup_copied"))
-    joined = docs.join(lists, F.xxhash64(docs["text"]) == F.col("suffix_dedup_node"), "left")
-    return joined.withColumn("suffix_dedup", cut(docs["text"], F.col("suffix_dedup_spans"), F.col("suffix_dedup_copied"))).drop("suffix_dedup_node", "suffix_dedup_spans", "suffix_dedup_copied")
+    node, spans, copied = (fresh(docs, f"suffix_dedup_{c}") for c in ("node", "spans", "copied"))
+    lists = light(gone, F.coalesce(F.octet_length("spans"), F.lit(0)) + 100).select(F.col("node").alias(node), F.col("spans").alias(spans), F.col("copied").alias(copied))
+    joined = docs.join(lists, number == F.col(node), "left")
+    out = fresh(docs, "suffix_dedup")
+    return joined.withColumn(out, cut(docs["text"], F.col(spans), F.col(copied))).select(*named(docs), out)
 
 
 def op2_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
