@@ -11,7 +11,8 @@ m / (2s + n - m) or more with a full window that holds m of them, and is missed
 Items for which that is over MISS (those of 8 grams or fewer, and those with few distinct shingles for their
 class) are looked up exactly: their shingles are held against each gram, and any
 hit is a candidate. So no short item is missed, and of the others at most MISS of those whose shingles lie in
-one window; shingles strewn over more than a window may be missed more often. Then the item's distinct 5-word shingles are counted exactly in the whole document.
+one window; shingles strewn over more than a window may be missed more often. Then the item's distinct 5-word shingles are counted in the
+whole document, first by hash; where that suffices, the bytes of both are compared, and only those count.
 
 Documents are read once and never shuffled; items go to the tasks in blocks of at most
 BLOCK_ITEMS (a query set), a pass for each block. Edge cases: texts or items that are null,
@@ -31,7 +32,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._spark import arrow, documents
-from ._text import LOWER, U64, gram_hash, prefix_hash, shingles, slices, span_hash, words
+from ._text import LOWER, U64, Texts, gram_hash, shingles, slices, span_hash, words
 
 N, K, LEAST_BLOCK = 5, 64, 16
 #: Items that the minima of a window would miss with a higher probability are looked up exactly.
@@ -52,13 +53,16 @@ def miss(s: int, n: int) -> float:
 
 @dataclass
 class Items:
-    """A block of items: ids, shingle sets, by class the members and their minima (K x members), and the rest exactly.
+    """A block of items: ids, texts, shingle sets, by class the members and their minima (K x members), and the rest exactly.
 
-    exact: shingles of the items that have no class, ascending, the item of each, and a bitmap of the shingles.
+    single: the items that have but one shingle, by it. exact: shingles of the items that have no class, ascending,
+    the item of each, and a bitmap of the shingles.
     """
 
     ids: list[int]
+    texts: list[bytes]
     sets: list[np.ndarray]
+    single: dict[int, list[int]]
     classes: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]
     exact: tuple[np.ndarray, np.ndarray, np.ndarray]
 
@@ -70,7 +74,7 @@ class Items:
         for t in slices(column):
             data = LOWER[t.data]
             w = words(data, t.offs)
-            sets += list(shingles(w, span_hash(prefix_hash(data), w.starts, w.ends), N))
+            sets += list(shingles(w, span_hash(data, w.starts, w.ends), N))
             grams += np.diff(w.at).tolist()
         by: dict[int, list[int]] = {}
         rest: list[int] = []
@@ -80,7 +84,9 @@ class Items:
                 (by.setdefault(s, []) if miss(s, len(sets[k])) <= MISS else rest).append(k)
         classes = {}
         for s, members in by.items():
-            low = np.array([[int(((sets[k] * a) >> U64(32)).min()) for k in members] for a in _A], np.uint32)
+            tokens = np.concatenate([sets[k] for k in members])
+            first = np.cumsum([0, *(len(sets[k]) for k in members[:-1])])
+            low = np.stack([np.minimum.reduceat((tokens * a) >> U64(32), first) for a in _A]).astype(np.uint32)
             bitmap = np.zeros((K, _BITMAP), bool)
             for j in range(K):
                 bitmap[j, low[j] & np.uint32(_BITMAP - 1)] = True
@@ -89,7 +95,11 @@ class Items:
         order = np.argsort(tokens, kind="stable")
         bitmap = np.zeros(_EXACT_BITMAP, bool)
         bitmap[tokens & U64(_EXACT_BITMAP - 1)] = True
-        return cls(ids, sets, classes, (tokens[order], np.repeat(np.array(rest, np.int64), [len(sets[k]) for k in rest])[order], bitmap))
+        single: dict[int, list[int]] = {}
+        for k, s in enumerate(sets):
+            if len(s) == 1:
+                single.setdefault(int(s[0]), []).append(k)
+        return cls(ids, [(t or "").encode("utf-8") for t in texts], sets, single, classes, (tokens[order], np.repeat(np.array(rest, np.int64), [len(sets[k]) for k in rest])[order], bitmap))
 
 
 def exactly(g: np.ndarray, first: np.ndarray, exact: tuple[np.ndarray, np.ndarray, np.ndarray]) -> set[tuple[int, int]]:
@@ -104,56 +114,90 @@ def exactly(g: np.ndarray, first: np.ndarray, exact: tuple[np.ndarray, np.ndarra
     return {(d, int(k)) for d, a, b in held.tolist() for k in item[a:b]}
 
 
-def search(column: pa.Array, items: Items) -> Iterator[tuple[int, int, int]]:
-    """(row, item, shared shingles) of each text that holds an item."""
-    top = max(items.classes, default=0)
+def byte_shingles(text: bytes) -> set[bytes]:
+    """The shingles of a text themselves."""
+    w = text.lower().split()
+    return {b" ".join(w[i : i + N]) for i in range(len(w) - N + 1)} if len(w) >= N else {b" ".join(w)} if w else set()
+
+
+def search(column: pa.Array, items: Items) -> Iterator[tuple[int, int, int, int]]:
+    """(row, item, its shingles, shared ones) of each text that holds an item."""
     for t in slices(column):
-        data = LOWER[t.data]
-        w = words(data, t.offs)
-        h = span_hash(prefix_hash(data), w.starts, w.ends)
-        n = np.diff(w.at)
-        for i in np.flatnonzero((n > 0) & (n < N)):
+        own: dict[int, set[bytes]] = {}
+        for i, k in found_by_hash(t, items):
+            if i not in own:
+                own = {i: byte_shingles(t.text(i))}  # texts come one after another
+            wanted = byte_shingles(items.texts[k])
+            shared = len(wanted & own[i])
+            if DEN * shared >= NUM * len(wanted):
+                yield t.first + i, k, len(wanted), shared
+
+
+def found_by_hash(t: Texts, items: Items) -> Iterator[tuple[int, int]]:
+    """(text, item) where the text holds the item, as far as the shingles' hashes tell; ordered by text."""
+    found: list[tuple[int, int]] = []
+    if len(t):
+        found += _short(t, items)
+        found += _long(t, items)
+    return iter(sorted(found))
+
+
+def _short(t: Texts, items: Items) -> Iterator[tuple[int, int]]:
+    data = LOWER[t.data]
+    w = words(data, t.offs)
+    n = np.diff(w.at)
+    some = np.flatnonzero((n > 0) & (n < N))
+    if len(some) and items.single:
+        h = span_hash(data, w.starts, w.ends)
+        for i in some.tolist():
             own = next(shingles(type(w)(w.starts, w.ends, w.at[i : i + 2]), h, N))
-            yield from ((t.first + int(i), k, 1) for k, s in enumerate(items.sets) if len(s) == 1 and s[0] == own[0])
-        docs = np.flatnonzero(n >= N)
-        if not len(docs):
-            continue
-        g = gram_hash(h, N)
-        size, start = n[docs] - N + 1, w.at[docs]
-        # grams of the texts one after another, without those across texts
-        at = np.repeat(start - (np.cumsum(size) - size), size) + np.arange(size.sum())
-        g = g[at]
-        first = np.cumsum(size) - size
-        found = exactly(g, first, items.exact)
-        blocks = -(-size // LEAST_BLOCK)
-        local = np.arange(blocks.sum()) - np.repeat(np.cumsum(blocks) - blocks, blocks)
-        cut = np.repeat(first, blocks) + local * LEAST_BLOCK
-        low = np.empty((K, len(cut)), np.uint32)
-        for j in range(K if top else 0):
-            low[j] = np.minimum.reduceat((g * _A[j]) >> U64(32), cut)
-        of = np.repeat(np.arange(len(docs)), blocks)
-        s = LEAST_BLOCK
-        while top:
-            if s in items.classes:
-                members, own, bitmap = items.classes[s]
-                window = low.copy()
-                same = np.flatnonzero(of[1:] == of[:-1])
-                window[:, same] = np.minimum(low[:, same], low[:, same + 1])
-                for j in range(K):
-                    for b in np.flatnonzero(bitmap[j][window[j] & np.uint32(_BITMAP - 1)]):
-                        found |= {(int(of[b]), int(members[m])) for m in np.flatnonzero(own[j] == window[j, b])}
-            if s >= top:
-                break
-            even = np.flatnonzero(local % 2 == 0)
-            nxt = np.minimum(even + 1, len(of) - 1)
-            nxt = np.where(of[nxt] == of[even], nxt, even)
-            low = np.minimum(low[:, even], low[:, nxt])
-            of, local, s = of[even], local[even] // 2, 2 * s
-        for d, k in sorted(found):
-            own_grams = g[first[d] : first[d] + size[d]]
-            shared = int(np.isin(items.sets[k], own_grams).sum())
-            if DEN * shared >= NUM * len(items.sets[k]):
-                yield t.first + int(docs[d]), k, shared
+            yield from ((i, k) for k in items.single.get(int(own[0]), ()))
+
+
+def _long(t: Texts, items: Items) -> Iterator[tuple[int, int]]:
+    top = max(items.classes, default=0)
+    data = LOWER[t.data]
+    w = words(data, t.offs)
+    h = span_hash(data, w.starts, w.ends)
+    n = np.diff(w.at)
+    docs = np.flatnonzero(n >= N)
+    if not len(docs):
+        return
+    g = gram_hash(h, N)
+    size, start = n[docs] - N + 1, w.at[docs]
+    # grams of the texts one after another, without those across texts
+    at = np.repeat(start - (np.cumsum(size) - size), size) + np.arange(size.sum())
+    g = g[at]
+    first = np.cumsum(size) - size
+    found = exactly(g, first, items.exact)
+    blocks = -(-size // LEAST_BLOCK)
+    local = np.arange(blocks.sum()) - np.repeat(np.cumsum(blocks) - blocks, blocks)
+    cut = np.repeat(first, blocks) + local * LEAST_BLOCK
+    low = np.empty((K, len(cut)), np.uint32)
+    for j in range(K if top else 0):
+        low[j] = np.minimum.reduceat((g * _A[j]) >> U64(32), cut)
+    of = np.repeat(np.arange(len(docs)), blocks)
+    s = LEAST_BLOCK
+    while top:
+        if s in items.classes:
+            members, own, bitmap = items.classes[s]
+            window = low.copy()
+            same = np.flatnonzero(of[1:] == of[:-1])
+            window[:, same] = np.minimum(low[:, same], low[:, same + 1])
+            for j in range(K):
+                for b in np.flatnonzero(bitmap[j][window[j] & np.uint32(_BITMAP - 1)]):
+                    found |= {(int(of[b]), int(members[m])) for m in np.flatnonzero(own[j] == window[j, b])}
+        if s >= top:
+            break
+        even = np.flatnonzero(local % 2 == 0)
+        nxt = np.minimum(even + 1, len(of) - 1)
+        nxt = np.where(of[nxt] == of[even], nxt, even)
+        low = np.minimum(low[:, even], low[:, nxt])
+        of, local, s = of[even], local[even] // 2, 2 * s
+    for d, k in sorted(found):
+        own_grams = g[first[d] : first[d] + size[d]]
+        if DEN * int(np.isin(items.sets[k], own_grams).sum()) >= NUM * len(items.sets[k]):
+            yield int(docs[d]), k
 
 
 def blocks_of(items: DataFrame) -> Iterator[Items]:
@@ -187,7 +231,7 @@ def contamination(docs: DataFrame, items: DataFrame) -> DataFrame:
             for batch in batches:
                 found = list(search(batch.column(1), own))
                 ids = batch.column(0).take(pa.array([f[0] for f in found], pa.int64()))
-                n, shared = [len(own.sets[f[1]]) for f in found], [f[2] for f in found]
+                n, shared = [f[2] for f in found], [f[3] for f in found]
                 yield pa.RecordBatch.from_arrays(
                     [ids, pa.array([own.ids[f[1]] for f in found], pa.int64()), pa.array(n, pa.int64()), pa.array(shared, pa.int64()), pa.array([a / b for a, b in zip(shared, n, strict=True)], pa.float64())],
                     ["doc_id", "item_id", "n_item", "n_shared", "containment"],
@@ -208,7 +252,7 @@ def holds_item(spark: SparkSession, text: Column, items: DataFrame) -> Column:
     def holds(column: pa.Array) -> pa.Array:
         out = np.zeros(len(column), bool)
         for b in sent:
-            for row, _, _ in search(column, b.value):
+            for row, *_ in search(column, b.value):
                 out[row] = True
         return pa.array(out)
 
