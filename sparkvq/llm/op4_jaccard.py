@@ -13,7 +13,7 @@ Links, not pairs, are the result, so a large group need not yield all its pairs:
 of a group of more than SMALL is first paired with its predecessor and with the group's
 first admissible member; what those links connect is settled. A second round gives each member
 of those groups the likeliest partner in another component (the suffix filter ranks them), a third
-pairs every admissible two that are still in different components. No pair of similar
+pairs every admissible two that are still in different components and were not yet compared. No pair of similar
 sets stays unconnected, and no group yields its square unless its members differ.
 
 Edge cases: null or empty text, or white space alone: no shingles, no links, its own
@@ -35,8 +35,8 @@ from pyspark.sql import functions as F
 
 from ._counts import PIECES, pieces, total
 from ._graph import components
-from ._spark import arrow, documents, stored
-from ._text import LOWER, U64, mix, prefix_hash, shingles, slices, span_hash, words
+from ._spark import arrow, documents, join_groups, stored, unlink
+from ._text import LOWER, U64, mix, shingles, slices, span_hash, words
 
 THRESHOLD = Fraction(3, 4)
 #: Hashed counts that set the order; cuts of the shingle space for the suffix filter.
@@ -54,7 +54,7 @@ def shingle_sets(column: pa.Array) -> Iterator[tuple[int, np.ndarray]]:
     for t in slices(column):
         data = LOWER[t.data]
         w = words(data, t.offs)
-        for i, s in enumerate(shingles(w, span_hash(prefix_hash(data), w.starts, w.ends))):
+        for i, s in enumerate(shingles(w, span_hash(data, w.starts, w.ends))):
             yield t.first + i, s
 
 
@@ -96,9 +96,9 @@ def survey(docs: DataFrame) -> DataFrame:
             none = pa.nulls(len(n))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(node, pa.int64()), pa.array(n, pa.int64()), pa.array(cuts, pa.binary()), none.cast(pa.int32()), none.cast(pa.binary())], names)
         none = pa.nulls(PIECES)
-        yield pa.RecordBatch.from_arrays([none.cast(pa.int64())] * 4 + [none.cast(pa.binary()), pa.array(range(PIECES), pa.int32()), pa.array(pieces(freq), pa.binary())], names)
+        yield pa.RecordBatch.from_arrays([none.cast(pa.int64()), none.cast(pa.binary()), none.cast(pa.int64()), none.cast(pa.int64()), none.cast(pa.binary()), pa.array(range(PIECES), pa.int32()), pa.array(pieces(freq), pa.binary())], names)
 
-    return docs.mapInArrow(run, "doc_id long, digest long, node long, n long, cuts binary, part int, freq binary")
+    return docs.mapInArrow(run, "doc_id long, digest binary, node long, n long, cuts binary, part int, freq binary")
 
 
 def prefix(s: np.ndarray, freq: np.ndarray) -> np.ndarray:
@@ -397,12 +397,14 @@ def verify(docs: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
         return pa.array(out, pa.bool_())
 
     side = lambda k: own.selectExpr(f"node {k}", f"s s_{k}")
-    return stored(left.join(side("a"), "a").join(side("b"), "b").where(alike("s_a", "s_b")).select("a", "b"), "edges")
+    edges = stored(left.join(side("a"), "a").join(side("b"), "b").where(alike("s_a", "s_b")).select("a", "b"), "edges", small=True)
+    unlink(left, need, own)
+    return edges
 
 
 def identified(docs: DataFrame) -> list[Column]:
-    """doc_id and digest, a hash of the text: what a row of docs is known by."""
-    return [docs["doc_id"].cast("long").alias("doc_id"), F.xxhash64(F.coalesce(docs["text"].cast("string"), F.lit(""))).alias("digest")]
+    """doc_id and digest, the md5 of the text: what a row of docs is known by."""
+    return [docs["doc_id"].cast("long").alias("doc_id"), F.unhex(F.md5(F.coalesce(docs["text"].cast("string"), F.lit("")))).alias("digest")]
 
 
 def known_by() -> Column:
@@ -418,29 +420,35 @@ def place(docs: DataFrame) -> DataFrame:
     docs = docs.select(doc_id, F.col("text").cast("string").alias("text"), digest)
     found = stored(survey(docs), "survey")
     own = found.where("part is null").select("doc_id", "digest", "node", "n", "cuts")
-    nodes = stored(own.where("node is not null").groupBy("node").agg(F.min(known_by()).alias("row"), F.first("n").alias("n"), F.first("cuts").alias("cuts")), "nodes")
+    nodes = stored(own.where("node is not null").groupBy("node").agg(F.min(known_by()).alias("row"), F.first("n").alias("n"), F.first("cuts").alias("cuts"), F.count("*").alias("rows")), "nodes")
     entries = nodes.agg(F.sum(F.col("n") / 4 + 1)).first()[0] or 0
     parts = max(8, int(entries // PART_ROWS))
     first = stored(candidates(prefixes(docs, total(found.where("part is not null"), 1 << FREQ_BITS), parts).repartition(parts, "part"), parts), "first")
-    edges = verify(docs, nodes, distinct_pairs(first.where("block is null").select("part", "pairs")))
+    tried = stored(distinct_pairs(first.where("block is null").select("part", "pairs")), "tried", small=True)
+    edges = verify(docs, nodes, tried)
     big = first.where("block is not null").select("block", F.monotonically_increasing_id().alias("home"))
     big = stored(big, "big", small=True)
     for best in () if big.isEmpty() else (True, False):
         rooted = nodes.select("node", "cuts").join(components(edges), "node", "left").withColumn("root", F.coalesce("root", "node"))
-        more = stored(second_pairs(big, rooted, parts, best), "second")
-        if more.isEmpty():
-            break
-        edges = edges.unionByName(verify(docs, nodes, more))
-    roots = components(edges)
-    placed = own.select("doc_id", "digest", "node", "n").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    return stored(placed.select("doc_id", "digest", "n", "root"), "placed")
+        # a pair that was compared before, in whichever round or group, is not compared again
+        more = stored(second_pairs(big, rooted, parts, best).join(tried, ["a", "b"], "left_anti"), "second", small=True)
+        if not more.isEmpty():
+            edges, tried = edges.unionByName(verify(docs, nodes, more)), tried.unionByName(more)
+    roots = nodes.select("node", "rows").join(components(edges), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    roots = stored(roots, "roots", small=True)
+    placed = join_groups(own.where("node is not null"), roots, ["node"], "rows").select("doc_id", "digest", "n", "root")
+    placed = stored(placed.unionByName(own.where("node is null").selectExpr("doc_id", "digest", "n", "cast(null as long) root")), "placed")
+    unlink(found, nodes, first, big, roots, tried, edges)
+    return placed
 
 
 def link(docs: DataFrame) -> DataFrame:
     """Per row of docs (doc_id, n_shingles, component_id)."""
     placed = place(docs)
-    least = placed.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("least"))
-    return placed.join(least, "root", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"))
+    linked = placed.where("root is not null")
+    least = stored(linked.groupBy("root").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("rows")), "least", small=True)
+    out = join_groups(linked, least, ["root"], "rows").unionByName(placed.where("root is null").withColumns({"component_id": F.col("doc_id"), "rows": F.lit(0)}))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), "component_id")
 
 
 def op4_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
