@@ -45,7 +45,7 @@ class Mse:
 
     @property
     def padded(self) -> int:
-        return 1 << (self.dim - 1).bit_length()
+        return self.dim if self.kind == "block" else 1 << (self.dim - 1).bit_length()
 
     @cached_property
     def codebook(self) -> Codebook:
@@ -211,8 +211,13 @@ def int8_scores(table: np.ndarray, queries: np.ndarray, codes: np.ndarray) -> np
 
 def int8_products(queries: np.ndarray, rows: np.ndarray) -> np.ndarray:
     """Exact inner products of int8 rows: in floats, whose sums are exact as long as they fit the mantissa."""
+    return int8_sums(queries, rows).astype(np.int64)
+
+
+def int8_sums(queries: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """The same, still as the floats that hold them exactly."""
     kind = np.float32 if queries.shape[1] * 127 * 127 < 1 << 24 else np.float64
-    return (queries.astype(kind) @ rows.T.astype(kind, copy=False)).astype(np.int64)
+    return queries.astype(kind) @ rows.T.astype(kind, copy=False)
 
 
 def can_vectorize(bits: int, dim: int) -> bool:

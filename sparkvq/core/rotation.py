@@ -1,4 +1,4 @@
-"""Random rotations of rows: rounds of signs and Walsh-Hadamard transforms, or a dense orthonormal matrix."""
+"""Random rotations of rows: rounds of signs and Walsh-Hadamard transforms (of whole rows, or of blocks), or a dense orthonormal matrix."""
 
 from __future__ import annotations
 
@@ -26,7 +26,10 @@ def walsh_hadamard(x: np.ndarray) -> np.ndarray:
 
 @dataclass(frozen=True)
 class Rotation:
-    """data: signs (rounds x padded), or the matrix (padded x padded)."""
+    """data: signs (rounds x padded), or the matrix (padded x padded).
+
+    kind "block": of k * 2**a values no padding; each round transforms blocks of 2**a and then deals every block's values out over all blocks.
+    """
 
     dim: int
     padded: int
@@ -41,7 +44,7 @@ class Rotation:
         if self.kind == "dense":
             return _in_order(x, self.data)
         for s in self.data:
-            x = walsh_hadamard(x * s)
+            x = self._blocks(x * s)
         return x
 
     def invert(self, y: np.ndarray) -> np.ndarray:
@@ -50,9 +53,18 @@ class Rotation:
         if self.kind == "dense":
             return _in_order(y, self.data.T)
         for s in self.data[::-1]:
-            y = walsh_hadamard(y) * s
+            y = self._blocks(y, back=True) * s
         return y
 
+    def _blocks(self, x: np.ndarray, back: bool = False) -> np.ndarray:
+        if self.kind == "hadamard":
+            return walsh_hadamard(x)
+        size = self.dim & -self.dim
+        deal = lambda v, a, b: v.reshape(-1, a, b).transpose(0, 2, 1).reshape(v.shape)
+        x = deal(x, size, self.dim // size) if back else x
+        x = walsh_hadamard(x.reshape(-1, size)).reshape(x.shape)
+        return x if back else deal(x, self.dim // size, size)
+
 
 def _in_order(x: np.ndarray, matrix: np.ndarray) -> np.ndarray:
     """x @ matrix.T in float32, terms added in the order of the columns."""
@@ -82,4 +94,8 @@ def rotation(dim: int, seed: int, purpose: str | int = "rht_signs", kind: str =
         return Rotation(dim, m, kind, stream.signs(ROUNDS * m).reshape(ROUNDS, m))
     if kind == "dense":
         return Rotation(dim, m, kind, _orthonormal(m, stream))
+    if kind == "block":
+        if dim % 2:
+            raise ValueError("blocks need an even number of values")
+        return Rotation(dim, dim, kind, stream.signs(ROUNDS * dim).reshape(ROUNDS, dim))
     raise ValueError(f"unknown rotation {kind!r}")

@@ -15,7 +15,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
-from ..core.packing import Layout
+from ..core.packing import Layout, unpack_signs
 from ..core.quantizers import Mse, Prod, norms
 from ..core.rotation import Rotation
 from ..ship import ship
@@ -45,8 +45,9 @@ def lists(rows: np.ndarray, good: np.ndarray, kind: pa.DataType) -> pa.Array:
 
 def blobs(rows: np.ndarray, good: np.ndarray) -> pa.Array:
     """Rows of bytes as a binary column, null where not good."""
-    it = iter(rows)
-    return pa.array([next(it).tobytes() if g else None for g in good], pa.binary())
+    ends = np.cumsum(np.where(good, rows.shape[1], 0))
+    offsets = pa.py_buffer(np.concatenate([[0], ends]).astype(np.int32))
+    return pa.Array.from_buffers(pa.binary(), len(good), [pa.array(good).buffers()[1], offsets, pa.py_buffer(np.ascontiguousarray(rows))])
 
 
 def scalars(v: np.ndarray, good: np.ndarray) -> pa.Array:
@@ -122,6 +123,40 @@ def prod_encode_kernel(model: Prod, mode: str = "strict") -> Kernel:
     return PROD_TYPE, run
 
 
+def pack_encoded_kernel(model: Mse | Prod, mode: str = "strict") -> Kernel:
+    """Norm and packed codes (null without bits), for Prod gamma and sketch, too: encoding and packing in one pass."""
+    inner = model.mse if isinstance(model, Prod) else model
+
+    def run(c: pa.Array) -> pa.Array:
+        x, good = matrix(c, model.dim, mode)
+        codes, *more = model.encode(x)
+        packed = blobs(inner.layout.pack(codes), good) if inner.bits else pa.nulls(len(good), pa.binary())
+        parts = {"norm": scalars(more[-1 if inner is model else 1], good), "codes": packed}
+        if inner is not model:
+            parts |= {"gamma": scalars(more[2], good), "sketch": blobs(more[0], good)}
+        return _struct(parts, good)
+
+    return "norm float, codes binary" + (", gamma float, sketch binary" if inner is not model else ""), run
+
+
+def products_kernel(model: Prod) -> Kernel:
+    """Estimated inner product of a plain vector and an encoded struct, row by row; null where either is."""
+
+    def run(q: pa.Array, s: pa.Array) -> pa.Array:
+        good = s.is_valid().to_numpy(zero_copy_only=False) & q.is_valid().to_numpy(zero_copy_only=False)
+        s = s.filter(pa.array(good))
+        x, _ = matrix(q.filter(pa.array(good)), model.dim)
+        p, w = model.prepare(x)
+        codes = s.field("codes").flatten().to_numpy(zero_copy_only=False).astype(np.uint8).reshape(-1, model.padded)
+        signs = unpack_signs(block(s.field("sketch"), -(-model.padded // 8)), model.padded)
+        rows = lambda a, b: np.einsum("ij,ij->i", a.astype(np.float64), b.astype(np.float64))
+        gamma, n = (s.field(k).to_numpy(zero_copy_only=False) for k in ("gamma", "norm"))
+        total = rows(p, model.mse.codebook.decode(codes)) + gamma.astype(np.float64) * np.float64(model.scale) * rows(w, signs)
+        return scalars((total * n).astype(np.float32), good)
+
+    return "float", run
+
+
 def decode_kernel(model: Mse | Prod) -> Kernel:
     """Vectors of an encoded struct column."""
 

@@ -22,14 +22,10 @@ def quantizer(dim: int, bits: int, objective: str = "inner_product", seed: int =
 
 def encode(vectors: DataFrame, model: Mse | Prod, vector: str = "embedding", mode: str = "strict") -> DataFrame:
     """vectors with norm, packed codes and, for Prod, gamma and sketch in place of the vector; other columns stay. A projection."""
-    prod = isinstance(model, Prod)
-    bits = model.bits - 1 if prod else model.bits
-    made = C.prod_encode(vector, model, mode) if prod else C.mse_encode(vector, model, mode)
+    made = C.apply(C.pack_encoded_kernel(model, mode), vector)
     rest = [c for c in vectors.columns if c != vector]
-    out = vectors.withColumn("encoded", made)
-    codes = C.pack(F.col("encoded.codes"), model.padded, bits) if bits else F.lit(None).cast("binary")
-    extra = [F.col("encoded.gamma").alias("gamma"), F.col("encoded.sketch").alias("sketch")] if prod else []
-    return out.select(*rest, F.col("encoded.norm").alias("norm"), codes.alias("codes"), *extra)
+    fields = ["norm", "codes", *(["gamma", "sketch"] if isinstance(model, Prod) else [])]
+    return vectors.withColumn("encoded", made).select(*rest, *[F.col(f"encoded.{f}").alias(f) for f in fields])
 
 
 @dataclass(frozen=True)
@@ -56,6 +52,11 @@ class FlatIndex:
         """Without the rows whose vec_id is in ids."""
         return replace(self, rows=self.rows.join(ids.select("vec_id"), "vec_id", "left_anti"))
 
+    def compact(self, path: str, mode: str = "errorifexists") -> FlatIndex:
+        """The rows that are left, written anew at path without the removed ones, and opened there."""
+        self.save(path, mode)
+        return FlatIndex.open(self.rows.sparkSession, path, self.model)
+
     def where(self, condition: Column | str) -> FlatIndex:
         """Only rows that meet a condition on the other columns; it is applied below the scoring."""
         return replace(self, rows=self.rows.where(condition))
@@ -66,4 +67,4 @@ class FlatIndex:
             return S.search(self.rows, self.model, queries, k, metric)
         if vectors is None:
             raise ValueError("rerank needs the vectors")
-        return S.rerank(S.search(self.rows, self.model, queries, k * rerank, metric), vectors, queries, k)
+        return S.rerank(S.search(self.rows, self.model, queries, k * rerank, metric), vectors, queries, k, k * rerank)

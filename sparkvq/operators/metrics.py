@@ -31,7 +31,7 @@ def squared_error(column: Column | str, model: Mse | Prod) -> Column:
 def product_errors(corpus: DataFrame, queries: DataFrame, models: dict[str, Mse | Prod]) -> DataFrame:
     """Per name of models (name, slope, distortion, pairs) over all pairs of a query and a row of another id.
 
-    slope: sum(estimate * truth) / sum(truth^2), 1 without bias; distortion: mean squared error. Tasks send sums.
+    slope: sum(estimate * truth) / sum(truth^2), 1 without bias; distortion: mean squared error. Tasks send sums. Without queries no rows.
     """
     spark = corpus.sparkSession
     ship(spark)
@@ -55,7 +55,8 @@ def product_errors(corpus: DataFrame, queries: DataFrame, models: dict[str, Mse
 
         return corpus.select("vec_id", "embedding").where("embedding is not null").mapInArrow(run, "name string, et double, tt double, ee double, n double")
 
-    parts = reduce(DataFrame.unionByName, [against(*b) for b in query_blocks(queries)])
+    blocks = [against(*b) for b in query_blocks(queries)]
+    parts = reduce(DataFrame.unionByName, blocks) if blocks else spark.createDataFrame([], "name string, et double, tt double, ee double, n double")
     s = {c: F.sum(c) for c in ("et", "tt", "ee", "n")}
     return parts.groupBy("name").agg((s["et"] / s["tt"]).alias("slope"), (s["ee"] / s["n"]).alias("distortion"), s["n"].cast("long").alias("pairs"))
 

@@ -22,10 +22,10 @@ from ..core.rotation import rotation
 from ..functions import columns as C
 from ..functions import exprs as X
 from ..operators import metrics, search
-from ..operators.attention import Split, accumulate
+from ..operators.attention import Split, accumulate, append_positions, attend, scores
 from ..operators.index import FlatIndex, encode
 from ..sources.vectors import from_columns, read_vectors
-from ..streaming.encode import append_encoded, read_stream
+from ..streaming.encode import append_encoded, append_index, read_stream
 from . import oracle as O
 
 SEED, DIM, K, QUERY_STEP = 0x5EED, 64, 10, 50
@@ -486,9 +486,12 @@ def _recall_sql() -> str:
 @query(_recall_sql())
 def recall_at_10(spark: SparkSession, d: str) -> DataFrame:
     v = vectors(spark, d)
-    truth = search.exact_search(v, asked(v), K, DIM)
-    rows = [metrics.recall(FlatIndex.build(v, m).search(asked(v), K), truth).select(F.lit(b).alias("bits"), F.lit(name).alias("method"), "hits") for b in (2, 3, 4) for name, m in (("mse", mse(b)), ("prod", prod(b)))]
-    return _union(rows)
+    models = {f"{name}_{b}": m for b in (2, 3, 4) for name, m in (("mse", mse(b)), ("prod", prod(b)))}
+    found = search.compare(v, asked(v), K, models)
+    truth = F.max(F.col("name") == "exact").over(Window.partitionBy("query_id", "vec_id"))
+    hits = found.withColumn("true", truth).where("name <> 'exact'").groupBy("name").agg(F.count(F.when(F.col("true"), 1)).alias("hits"))
+    part = F.split("name", "_")
+    return hits.select(part[1].cast("int").alias("bits"), part[0].alias("method"), "hits")
 
 
 _SIZES = [("mse", b, metrics.bytes_per_vector(mse(b))) for b in (1, 2, 3, 4)] + [("prod", b, metrics.bytes_per_vector(prod(b))) for b in (1, 2, 3, 4)]

@@ -21,9 +21,12 @@ def from_columns(df: DataFrame, *columns: str) -> DataFrame:
 
 def write_index(encoded: DataFrame, model: Mse | Prod, path: str, mode: str = "errorifexists") -> None:
     """Rows under path/rows, the model (one row of JSON) under path/model."""
-    spark = encoded.sparkSession
     encoded.write.mode(mode).parquet(f"{path}/rows")
-    spark.createDataFrame([(FORMAT_VERSION, to_json(model))], "version int, model string").coalesce(1).write.mode("ignore" if mode == "append" else mode).parquet(f"{path}/model")
+    write_model(encoded.sparkSession, model, path, "ignore" if mode == "append" else mode)
+
+
+def write_model(spark: SparkSession, model: Mse | Prod, path: str, mode: str) -> None:
+    spark.createDataFrame([(FORMAT_VERSION, to_json(model))], "version int, model string").coalesce(1).write.mode(mode).parquet(f"{path}/model")
 
 
 def read_index(spark: SparkSession, path: str, expect: Mse | Prod | None = None) -> tuple[DataFrame, Mse | Prod]:
