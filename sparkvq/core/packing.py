@@ -53,6 +53,14 @@ class Layout:
         byte = np.arange(256)[:, None] >> np.arange(per) * self.bits & (1 << self.bits) - 1
         return values[byte].take(rows[:, : self.code_bytes], 0).reshape(len(rows), self.dim)
 
+    def codes_at(self, rows: np.ndarray, j: int) -> np.ndarray:
+        """Code j of each packed row."""
+        bit = j * self.bits
+        two = rows[:, bit // 8].astype(np.uint16)
+        if bit % 8 + self.bits > 8:
+            two |= rows[:, bit // 8 + 1].astype(np.uint16) << 8
+        return (two >> bit % 8 & (1 << self.bits) - 1).astype(np.uint8)
+
     def code_at(self, row: bytes, j: int) -> int:
         """Code j of one packed row."""
         bit = j * self.bits

@@ -193,6 +193,18 @@ def unpack_kernel(layout: Layout) -> Kernel:
     return "array<smallint>", run
 
 
+def code_at_kernel(layout: Layout, j: int) -> Kernel:
+    """Code j of packed rows, from the one or two bytes that hold it."""
+
+    def run(c: pa.Array) -> pa.Array:
+        good = c.is_valid().to_numpy(zero_copy_only=False)
+        rows = c.filter(pa.array(good))
+        width = len(rows[0].as_py()) if len(rows) else layout.code_bytes
+        return scalars(layout.codes_at(block(rows, width), j).astype(np.int16), good)
+
+    return "smallint", run
+
+
 def norm(column: Column | str, dim: int, mode: str = "strict") -> Column:
     return apply(norm_kernel(dim, mode), column)
 
@@ -225,6 +237,10 @@ def unpack(packed: Column | str, dim: int, bits: int) -> Column:
     return apply(unpack_kernel(Layout(dim, bits)), packed)
 
 
+def code_at(packed: Column | str, dim: int, bits: int, j: int) -> Column:
+    return apply(code_at_kernel(Layout(dim, bits), j), packed)
+
+
 def register(spark: SparkSession, dim: int, bits: int, seed: int = 0, prefix: str = "vq_") -> list[str]:
     """SQL functions for one choice of parameters; their names."""
     ship(spark)

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..core.quantizers import Mse, Prod, int8_query, int8_sums, int8_table, norms
+from ..core.quantizers import Mse, Prod, int8_query, int8_sums, int8_table, norms, sketch_dot
 from ..functions.columns import block, matrix
 from ..ship import ship
 
@@ -206,6 +206,11 @@ def int8_search(encoded: DataFrame, model: Mse, queries: DataFrame, k: int, scal
     return scan(encoded, ["vec_id", "codes"], queries, k, read, score, lambda v: int8_query(model.prepare(v)), "double" if scaled else "long")
 
 
+def sketch_search(encoded: DataFrame, model: Prod, queries: DataFrame, k: int) -> DataFrame:
+    """By the sketch alone: products with the residual's signs, as sums over its set bits."""
+    return scan(encoded, ["vec_id", "sketch"], queries, k, lambda batch: block(batch.column(1), -(-model.padded // 8)), lambda w, rows: np.round(sketch_dot(w, rows), 9), lambda v: model.prepare(v)[1])
+
+
 def rerank(found: DataFrame, vectors: DataFrame, queries: DataFrame, k: int, most: int | None = None) -> DataFrame:
     """The candidates of found (at most `most` of each query), rescored by exact inner products of plain vectors."""
     from ..functions.exprs import dot

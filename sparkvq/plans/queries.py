@@ -14,9 +14,9 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..core.density import NODES, WEIGHTS, gaussian, legendre, mean_abs, sphere
+from ..core.density import gaussian, integrate, legendre, mean_abs, sphere
 from ..core.lloyd import codebook, solve
-from ..core.quantizers import GaussianSketch, Mse, Prod, int8_table
+from ..core.quantizers import GaussianSketch, Mse, Prod, can_vectorize, int8_table
 from ..core.rng import Stream
 from ..core.rotation import rotation
 from ..functions import columns as C
@@ -70,19 +70,35 @@ def philox_signs(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, [(p, i, int(s)) for p in (1, 3) for i, s in enumerate(Stream(SEED, p).signs(3 * DIM))], "purpose int, pos long, sign int")
 
 
-@query()
-def philox_streams(spark: SparkSession, d: str) -> DataFrame:
-    """Uniform, bounded and normal draws and a permutation."""
-    draws = [("uniform", i, float(v)) for i, v in enumerate(Stream(SEED, "testing").uniform(256))]
-    bounded, normal = Stream(SEED, "testing"), Stream(SEED, "testing")
-    draws += [("bounded_7", i, float(bounded.bounded(7))) for i in range(256)] + [("normal", i, normal.gaussian()) for i in range(256)]
-    draws += [("permutation", i, float(v)) for i, v in enumerate(Stream(SEED, "rht_permutation").permutation(256))]
-    return table(spark, draws, "kind string, pos int, value double")
+@query(O.with_parts(O.words("a", SEED, "testing", 256), "SELECT w AS pos, (word >> 8)::DOUBLE / 16777216 AS value FROM a_w"))
+def philox_uniform(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, list(enumerate(Stream(SEED, "testing").uniform(256).tolist())), "pos long, value double")
+
+
+@query(O.with_parts(O.words("a", SEED, "testing", 400), "SELECT * FROM (SELECT row_number() OVER (ORDER BY w) - 1 AS pos, word % 7 AS value FROM a_w WHERE word < 4294967295 - 4294967295 % 7) WHERE pos < 256"))
+def philox_bounded(spark: SparkSession, d: str) -> DataFrame:
+    s = Stream(SEED, "testing")
+    return table(spark, [(i, s.bounded(7)) for i in range(256)], "pos long, value long")
+
+
+@query(O.with_parts(O.normals("a", SEED, "testing", 256), "SELECT i AS pos, round(g, 10) AS value FROM a_g"))
+def philox_normal(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, list(enumerate(Stream(SEED, "testing").gaussians(256).tolist())), "pos long, value double").withColumn("value", F.round("value", 10))
+
 
+_SWAPS = "CASE WHEN i = n THEN p[j + 1] WHEN i = j THEN p[n + 1] ELSE p[i + 1] END"
 
-@query(f"""SELECT round(sum(w), 12) AS weights, round(sum(w * x ** 30), 10) AS degree_30 FROM (SELECT unnest({[float(v) for v in NODES]}) AS x, unnest({[float(v) for v in WEIGHTS]}) AS w)""")
+
+@query(O.with_parts([*O.words("a", SEED, "testing", 64), f"f(n, p) AS (SELECT 63, range(64) UNION ALL SELECT n - 1, list_transform(range(64), lambda i: {_SWAPS}) FROM (SELECT n, p, (word % (n + 1)::UBIGINT)::INT AS j FROM f JOIN a_w ON w = 63 - n WHERE n > 0))"], "SELECT i AS pos, p[i + 1] AS value FROM f, range(64) t(i) WHERE n = 0"))
+def philox_permutation(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, list(enumerate(Stream(SEED, "testing").permutation(64).tolist())), "pos long, value long")
+
+
+@query("SELECT n, round(CASE n % 2 WHEN 0 THEN 2.0::DOUBLE / (n + 1) ELSE 0 END, 10) + 0::DOUBLE AS once, round((3.0::DOUBLE ** (n + 1) - 1) / (n + 1) / 3.0::DOUBLE ** n, 10) AS panels FROM range(32) r(n)")
 def quadrature_rule(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, list(zip(NODES.tolist(), WEIGHTS.tolist(), strict=True)), "x double, w double").agg(F.round(F.sum("w"), 12).alias("weights"), F.round(F.sum(F.col("w") * F.pow("x", F.lit(30))), 10).alias("degree_30"))
+    """Monomials of degree 0 to 31: by one panel over (-1, 1), by seven over (1, 3), scaled."""
+    found = [(n, integrate(lambda x, n=n: x**n, -1, 1) + 0.0, integrate(lambda x, n=n: (x / 3) ** n, 1, 3, 7)) for n in range(32)]
+    return table(spark, found, "n long, once double, panels double").select("n", (F.round("once", 10) + 0.0).alias("once"), F.round("panels", 10).alias("panels"))
 
 
 @query(
@@ -103,25 +119,81 @@ def density_table(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, [(i, float(a), float(b)) for i, (a, b) in enumerate(zip(sphere(DIM).pdf(t), gaussian(DIM**-0.5).pdf(t), strict=True))], "pos long, a double, b double").select("pos", F.round("a", 8).alias("sphere_pdf"), F.round("b", 8).alias("gaussian_pdf"))
 
 
-@query()
+_SPHERE = f"exp(lgamma({DIM} / 2.0) - lgamma({DIM - 1} / 2.0) - 0.5 * ln(pi()) + {(DIM - 3) / 2} * ln(1 - t * t))"
+_NORMAL = f"exp(-t * t * {DIM} / 2.0) * sqrt({DIM} / (2 * pi()))"
+_SIGMA = DIM**-0.5
+#: Within these bounds lies all but 1e-15 of the mass.
+_SOLVED = [*O.lloyd("ls", _SPHERE, 0.9, _SIGMA, range(1, 5)), *O.lloyd("lg", _NORMAL, 1.2, _SIGMA, range(1, 5))]
+
+
+@query(O.with_parts(_SOLVED, "SELECT 'sphere' AS density, bits, round(error, 6) AS distortion FROM ls UNION ALL SELECT 'gaussian', bits, round(error, 6) FROM lg"))
 def lloyd_solutions(spark: SparkSession, d: str) -> DataFrame:
-    """Distortion by bits, for the normal density and a sphere coordinate."""
-    found = [(kind, b, solve(f, 1 << b)) for kind, f in (("gaussian", gaussian(1.0)), ("sphere", sphere(DIM))) for b in range(1, 7)]
-    return table(spark, [(k, b, round(s.normalized_distortion, 8), s.iterations, math.sqrt(3) * math.pi / 2 * 4.0**-b) for k, b, s in found], "density string, bits int, distortion double, iterations int, bound double")
+    """Distortion by bits, for the normal density and a sphere coordinate; in SQL by plain Lloyd steps on a grid."""
+    found = [(kind, b, solve(f, 1 << b).normalized_distortion) for kind, f in (("gaussian", gaussian(_SIGMA)), ("sphere", sphere(DIM))) for b in range(1, 5)]
+    return table(spark, found, "density string, bits int, distortion double").withColumn("distortion", F.round("distortion", 6))
 
 
 @query()
+def lloyd_high_bits(spark: SparkSession, d: str) -> DataFrame:
+    """The same for 5 to 8 bits, beside the bound that no quantizer exceeds."""
+    found = [(kind, b, solve(f, 1 << b)) for kind, f in (("gaussian", gaussian(1.0)), ("sphere", sphere(DIM))) for b in range(5, 9)]
+    return table(spark, [(k, b, round(s.normalized_distortion, 8), s.iterations, math.sqrt(3) * math.pi / 2 * 4.0**-b) for k, b, s in found], "density string, bits int, distortion double, iterations int, bound double")
+
+
+@query(O.with_parts(_SOLVED[:5], "SELECT 0 AS bits, 0 AS k, 0::DOUBLE AS centroid, NULL::DOUBLE AS upper_threshold UNION ALL SELECT bits, i::INT, round(c[i + 1], 4), round(t[i + 1], 4) + 0::DOUBLE FROM ls, range(16) r(i) WHERE i < len(c)"))
 def codebook_table(spark: SparkSession, d: str) -> DataFrame:
     books = [(b, codebook(b, DIM)) for b in range(0, 5)]
-    return table(spark, [(b, k, round(float(c), 5), round(float(t.thresholds[k]), 5) if k < len(t.thresholds) else None) for b, t in books for k, c in enumerate(t.centroids)], "bits int, k int, centroid double, upper_threshold double")
+    return table(spark, [(b, k, round(float(c), 4), round(float(t.thresholds[k]), 4) + 0.0 if k < len(t.thresholds) else None) for b, t in books for k, c in enumerate(t.centroids)], "bits int, k int, centroid double, upper_threshold double")
 
 
-@query()
+@query(O.with_parts(_SOLVED, "SELECT bits, i::INT AS k, round(ls.c[i + 1], 5) AS exact, round(lg.c[i + 1], 5) AS gaussian FROM ls JOIN lg USING (bits), range(16) r(i) WHERE i < len(ls.c)"))
 def gaussian_vs_exact(spark: SparkSession, d: str) -> DataFrame:
     """Levels for the exact density and for its normal limit."""
     return table(spark, [(b, k, round(float(x), 5), round(float(y), 5)) for b in range(1, 5) for k, (x, y) in enumerate(zip(codebook(b, DIM).centroids, codebook(b, DIM, False).centroids, strict=True))], "bits int, k int, exact double, gaussian double")
 
 
+_EDGES = [(-2.0, -0.2), (-0.2, -0.05), (-0.05, 0.1), (0.1, 0.1), (0.3, 0.25), (0.1, 2.0)]
+
+
+@query(
+    O.with_parts(
+        [
+            f"e AS (SELECT unnest({[e[0] for e in _EDGES]})::DOUBLE AS a, unnest({[e[1] for e in _EDGES]})::DOUBLE AS b)",
+            "g AS (SELECT -0.9995 + i * 0.001 / 20 AS t, 0.001 / 20 AS h FROM range(39981) r(i))",
+            f"f AS (SELECT t, h, {_SPHERE} AS sphere, {_NORMAL} AS gaussian FROM g)",
+            "k AS (SELECT unnest(['sphere', 'gaussian']) AS kind)",
+        ],
+        "SELECT kind, a, b, round(coalesce(sum(h * CASE kind WHEN 'sphere' THEN sphere ELSE gaussian END * part), 0), 4) + 0::DOUBLE AS mass, round(coalesce(sum(t * h * CASE kind WHEN 'sphere' THEN sphere ELSE gaussian END * part), 0), 4) + 0::DOUBLE AS moment "
+        "FROM (SELECT a, b, t, h, sphere, gaussian, CASE WHEN b <= a THEN 0 ELSE greatest(0, least(t + h / 2, b) - greatest(t - h / 2, a)) / h END AS part FROM e, f), k GROUP BY kind, a, b",
+    )
+)
+def density_cells(spark: SparkSession, d: str) -> DataFrame:
+    """Mass and moment of cells, beyond the support, empty and inverted ones too; in SQL by sums over a grid."""
+    found = [(kind, a, b, f.mass(a, b), f.moment(a, b)) for kind, f in (("sphere", sphere(DIM)), ("gaussian", gaussian(_SIGMA))) for a, b in _EDGES]
+    return table(spark, found, "kind string, a double, b double, mass double, moment double").select("kind", "a", "b", *[(F.round(c, 4) + 0.0).alias(c) for c in ("mass", "moment")])
+
+
+@query(
+    O.with_parts(
+        ["g AS (SELECT i, -0.9 + (i + 0.5) * 0.00001 AS t FROM range(180000) r(i))", f"f AS (SELECT t, sum({_SPHERE} * 0.00001) OVER (ORDER BY i) AS p FROM g)", "q AS (SELECT unnest(range(1, 20)) / 20.0::DOUBLE AS p)"],
+        "SELECT q.p AS p, round(min(t), 3) + 0::DOUBLE AS quantile FROM q JOIN f ON f.p >= q.p - 1e-9 GROUP BY q.p",
+    )
+)
+def density_quantiles(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, [(i / 20, sphere(DIM).quantile(i / 20)) for i in range(1, 20)], "p double, quantile double").select("p", (F.round("quantile", 3) + 0.0).alias("quantile"))
+
+
+@query(f"SELECT 'sphere' AS kind, 1.0::DOUBLE / {DIM} AS variance, round(1 / sqrt({DIM}), 12) AS scale, -1::DOUBLE AS lo, 1::DOUBLE AS hi UNION ALL SELECT 'gaussian', 0.25::DOUBLE, 0.5::DOUBLE, -20::DOUBLE, 20::DOUBLE")
+def density_constants(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, [(k, f.variance, round(f.scale, 12), *map(float, f.support)) for k, f in (("sphere", sphere(DIM)), ("gaussian", gaussian(0.5)))], "kind string, variance double, scale double, lo double, hi double")
+
+
+@query("SELECT b::INT AS bits, m::INT AS dim, b = 4 AND m % 32 = 0 AS packed FROM (SELECT unnest(range(1, 9)) AS b), (SELECT unnest([16, 32, 48, 64, 1000, 1024]) AS m)")
+def scan_shapes(spark: SparkSession, d: str) -> DataFrame:
+    """Which codes have the shape of the packed int8 scan."""
+    return table(spark, [(b, m, can_vectorize(b, m)) for b in range(1, 9) for m in (16, 32, 48, 64, 1000, 1024)], "bits int, dim int, packed boolean")
+
+
 @query(f"SELECT m, round(1 / (m * (exp(lgamma(m / 2.0) - lgamma((m + 1) / 2.0)) / sqrt(pi()))), 7) AS scale FROM (SELECT unnest([4, 16, 64, 128, 256]) AS m)")
 def sketch_scales(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, [(m, 1.0 / (m * mean_abs(m))) for m in (4, 16, 64, 128, 256)], "m int, scale double").select("m", F.round("scale", 7).alias("scale"))
@@ -174,7 +246,7 @@ def _codes(bits: int) -> None:
         return _pos(vectors(spark, d).select("vec_id", C.mse_encode("embedding", mse(bits)).alias("e")), "e.codes", "code").withColumn("code", F.col("code").cast("int"))
 
 
-for _bits in range(1, 5):
+for _bits in range(1, 9):
     _codes(_bits)
 
 
@@ -277,13 +349,42 @@ def padded_lineitem_codes(spark: SparkSession, d: str) -> DataFrame:
     return lines.select(C.mse_encode("embedding", _L).alias("e")).select(F.posexplode("e.codes").alias("pos", "code")).groupBy("pos", F.col("code").cast("int").alias("code")).agg(F.count("*").alias("n"))
 
 
-@query("SELECT label, count(*) AS n, 0 AS nulls FROM embeddings GROUP BY label")
+@query("SELECT label, count(*) AS n, count(*) FILTER (vec_id % 5 < 3)::INT AS nulls FROM embeddings GROUP BY label")
 def permissive_nulls(spark: SparkSession, d: str) -> DataFrame:
-    """Permissive encoding gives null only for a broken vector; here none is."""
-    e = vectors(spark, d).select("label", C.mse_encode("embedding", mse(2), "permissive").alias("e"))
+    """Permissive encoding gives null for a null vector, a short one and one with a null in it; here three rows of five are such."""
+    kind, x = F.col("vec_id") % 5, F.col("embedding")
+    holed = F.transform(x, lambda v, i: F.when(i != 7, v))
+    broken = F.when(kind == 1, F.slice(x, 1, DIM - 1)).when(kind == 2, holed).when(kind > 2, x)
+    e = vectors(spark, d).withColumn("embedding", broken).select("label", C.mse_encode("embedding", mse(2), "permissive").alias("e"))
     return e.groupBy("label").agg(F.count("*").alias("n"), F.sum(F.when(F.col("e").isNull(), 1).otherwise(0)).cast("int").alias("nulls"))
 
 
+@query(O.with_parts([*_Y, *O.coded(mse(3), "y", "k")], "SELECT vec_id, j::INT AS pos, code[j + 1]::INT AS code FROM k, (SELECT unnest([0, 2, 17, 63]) AS j)"))
+def code_at(spark: SparkSession, d: str) -> DataFrame:
+    """Single codes of packed rows, some of which cross bytes."""
+    rows = FlatIndex.build(vectors(spark, d), mse(3)).rows
+    return _union([rows.select("vec_id", F.lit(j).alias("pos"), C.code_at("codes", DIM, 3, j).cast("int").alias("code")) for j in (0, 2, 17, 63)])
+
+
+@query(QUERIES["pack4_hex"][1])
+def sql_functions(spark: SparkSession, d: str) -> DataFrame:
+    """The registered SQL functions."""
+    C.register(spark, DIM, 4, SEED)
+    vectors(spark, d).createOrReplaceTempView("vq_vectors")
+    return spark.sql("SELECT vec_id, hex(vq_pack(vq_mse_encode(embedding).codes)) AS packed FROM vq_vectors")
+
+
+_B = Mse(48, 4, SEED, "block")
+_BLOCK = [*O.signs("bs", SEED, "rht_signs", 3 * 48), "bu AS (SELECT vec_id, embedding[1:48] AS x FROM embeddings)", *O.rotate("bu", "br", "bs", 48, "vec_id", size=16)]
+
+
+@query(O.with_parts(_BLOCK, "SELECT vec_id, i::INT AS pos, round(x[i + 1]::DOUBLE, 5) + 0::DOUBLE AS y FROM br, range(48) t(i)"))
+def block_rotate(spark: SparkSession, d: str) -> DataFrame:
+    """48 values in blocks of 16: no padding."""
+    y = vectors(spark, d).select("vec_id", C.rotate(F.slice("embedding", 1, 48), _B.rotation).alias("y"))
+    return _pos(y, "y", "y").withColumn("y", F.round(F.col("y").cast("double"), 5) + 0.0)
+
+
 # --- search
 
 _Q = f"q AS (SELECT vec_id AS query_id, embedding AS e FROM embeddings WHERE vec_id % {QUERY_STEP} = 0)"
@@ -376,22 +477,67 @@ def rerank_topk(spark: SparkSession, d: str) -> DataFrame:
     return _ranks(FlatIndex.build(v, mse(2)).search(asked(v), K, rerank=4, vectors=v))
 
 
-@query("SELECT label, count(*) AS n FROM embeddings WHERE vec_id % 3 <> 0 GROUP BY label")
+@query(O.with_parts(_M, _top(_MSE_SCORE, "qr, (SELECT * FROM k WHERE vec_id % 3 <> 0)")))
 def index_remove(spark: SparkSession, d: str) -> DataFrame:
     v = vectors(spark, d)
-    gone = v.where("vec_id % 3 = 0").select("vec_id")
-    return FlatIndex.build(v, mse(4)).remove(gone).rows.groupBy("label").agg(F.count("*").alias("n"))
+    return _ranks(FlatIndex.build(v, mse(4)).remove(v.where("vec_id % 3 = 0").select("vec_id")).search(asked(v), K))
 
 
-@query("SELECT label, 2 * count(*) AS n, 2 * count(DISTINCT vec_id) AS ids FROM embeddings GROUP BY label")
+@query(O.with_parts(_M, _top(_MSE_SCORE, "qr, (SELECT * FROM k UNION ALL SELECT * REPLACE (-vec_id - 1 AS vec_id) FROM k)")))
 def index_append(spark: SparkSession, d: str) -> DataFrame:
     v = vectors(spark, d)
-    more = v.withColumn("vec_id", -F.col("vec_id") - 1)
-    return FlatIndex.build(v, mse(4)).add(more).rows.groupBy("label").agg(F.count("*").alias("n"), F.countDistinct("vec_id").alias("ids"))
+    return _ranks(FlatIndex.build(v, mse(4)).add(v.withColumn("vec_id", -F.col("vec_id") - 1)).search(asked(v), K))
+
+
+_KEPT_HEX = f"SELECT * FROM ({QUERIES['pack4_hex'][1]}) WHERE vec_id % 3 <> 0"
+
+
+@query(_KEPT_HEX)
+def index_compact(spark: SparkSession, d: str) -> DataFrame:
+    """Rows removed, the rest written anew."""
+    v = vectors(spark, d)
+    return FlatIndex.build(v, mse(4)).remove(v.where("vec_id % 3 = 0").select("vec_id")).compact(_scratch(spark, "compact")).rows.select("vec_id", F.hex("codes").alias("packed"))
+
+
+_QN = "(SELECT qr.*, q.e FROM qr JOIN q USING (query_id))"
+
+
+def _scored(name: str, score: str, source: str) -> str:
+    return f"SELECT '{name}' AS method, query_id, rank, vec_id, round(score::DOUBLE, 5) AS score FROM ({_top(score, source, extra=', score')})"
+
+
+@query(O.with_parts([*_PS, *O.coded(mse(4), "y", "k")], " UNION ALL ".join([_scored("exact", _EXACT, "q, embeddings"), _scored("mse", _MSE_SCORE, "qr, k"), _scored("prod", _PROD_SCORE, "qw, p"), _scored("cosine", f"{_MSE_SCORE}::DOUBLE / {O.norm('e')}::DOUBLE / n::DOUBLE", f"{_QN}, k"), _scored("l2", f"2 * {_MSE_SCORE}::DOUBLE - {O.norm('e')}::DOUBLE ** 2 - n::DOUBLE ** 2", f"{_QN}, k")])))
+def topk_scores(spark: SparkSession, d: str) -> DataFrame:
+    """The scores themselves, of five searches."""
+    v = vectors(spark, d)
+    index, q = FlatIndex.build(v, mse(4)), asked(v)
+    found = {"exact": search.exact_search(v, q, K, DIM), "mse": index.search(q, K), "prod": FlatIndex.build(v, prod()).search(q, K), "cosine": index.search(q, K, "cosine"), "l2": index.search(q, K, "l2")}
+    return _union([df.select(F.lit(name).alias("method"), "query_id", "rank", "vec_id", F.round("score", 5).alias("score")) for name, df in found.items()])
+
+
+_STEP8 = f"({float(int8_table(mse(4).codebook.centroids)[1])!r})::FLOAT"
+
+
+@query(O.with_parts(_INT8, f"SELECT query_id, rank, vec_id, round(score::DOUBLE, 6) AS score FROM ({_top(f'(list_sum(list_transform(range(1, {DIM + 1}), lambda i: p8[i] * c8[i]))::FLOAT * ((top / 127::FLOAT)::FLOAT * {_STEP8})::FLOAT)::FLOAT', '(SELECT q8.*, top FROM q8 JOIN q8m USING (query_id)), k8', extra=', score')})"))
+def int8_scaled_topk(spark: SparkSession, d: str) -> DataFrame:
+    """By what the integer scores estimate."""
+    v = vectors(spark, d)
+    return search.int8_search(FlatIndex.build(v, mse(4)).rows, mse(4), asked(v), K, scaled=True).withColumn("score", F.round("score", 6))
+
+
+@query(O.with_parts(_PS, _top(f"round({O.dot('pw', 'w', DIM)}, 9)", "qw, p")))
+def masked_topk(spark: SparkSession, d: str) -> DataFrame:
+    """By the sketch alone, its products as sums over set bits."""
+    v = vectors(spark, d)
+    return _ranks(search.sketch_search(FlatIndex.build(v, prod()).rows, prod(), asked(v), K))
 
 
 def _scratch(spark: SparkSession, name: str) -> str:
-    top = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or "file:///tmp/sparkvq-shared"
+    top = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not top:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        top = "file:///tmp/sparkvq-shared"
     return f"{top.rstrip('/')}/sparkvq/{name}-{uuid.uuid4().hex}"
 
 
@@ -449,13 +595,36 @@ def ip_distortion(spark: SparkSession, d: str) -> DataFrame:
     return _errors(spark, d).select("bits", F.round(F.col("distortion") * DIM, 4).alias("distortion"))
 
 
-@query()
+def _mse_pairs_sql() -> str:
+    parts = [*_Y, *_QP]
+    for b in range(1, 5):
+        parts += [*O.coded(mse(b), "y", f"k{b}"), f"s{b} AS (SELECT {b} AS bits, {_MSE_SCORE}::DOUBLE AS est, {O.dot('q.e', 'embedding', DIM)} AS truth FROM qr JOIN q USING (query_id), k{b} JOIN embeddings USING (vec_id) WHERE query_id <> vec_id)"]
+    return O.with_parts(parts, f"SELECT bits, round(sum(est * truth) / sum(truth * truth), 4) AS slope FROM ({' UNION ALL '.join(f'SELECT * FROM s{b}' for b in range(1, 5))}) GROUP BY bits")
+
+
+@query(_mse_pairs_sql())
 def mse_only_bias(spark: SparkSession, d: str) -> DataFrame:
     """Slope of products estimated without the sketch: below 1, near 2 / pi at one bit."""
     v = vectors(spark, d)
     return metrics.product_errors(v, asked(v), {str(b): mse(b) for b in range(1, 5)}).select(F.col("name").cast("int").alias("bits"), F.round("slope", 4).alias("slope"))
 
 
+def _sketch_sql() -> str:
+    parts = [*O.normals("gm", SEED, "testing", DIM * DIM), f"gr AS MATERIALIZED (SELECT list(row ORDER BY r) AS m FROM (SELECT i // {DIM} AS r, list(g ORDER BY i) AS row FROM gm_g GROUP BY 1))"]
+    project = f"list_transform(range(1, {DIM + 1}), lambda j: list_sum(list_transform(range(1, {DIM + 1}), lambda i: m[j][i] * {{x}}[i]::DOUBLE)))"
+    parts += [_Q, f"gq AS MATERIALIZED (SELECT query_id, e, {project.format(x='e')} AS w FROM q, gr)", f"gx AS MATERIALIZED (SELECT vec_id, embedding, {O.norm('embedding')} AS n, list_transform({project.format(x='embedding')}, lambda v: CASE WHEN v >= 0 THEN 1 ELSE -1 END) AS s FROM embeddings, gr)"]
+    parts += [f"gs AS (SELECT (sqrt(pi() / 2) / {DIM} * {O.dot('w', 's', DIM)} * n)::FLOAT::DOUBLE AS est, {O.dot('e', 'embedding', DIM)} AS truth FROM gq, gx WHERE query_id <> vec_id)"]
+    return O.with_parts(parts, f"SELECT round(sum(est * truth) / sum(truth * truth), 3) AS slope, round({DIM} * avg((est - truth) ** 2), 3) AS distortion FROM gs")
+
+
+@query(_sketch_sql())
+def gaussian_sketch_errors(spark: SparkSession, d: str) -> DataFrame:
+    """One bit, normal projections alone."""
+    v = vectors(spark, d)
+    found = metrics.product_errors(v, asked(v), {"gaussian": GaussianSketch(DIM, SEED)})
+    return found.select(F.round("slope", 3).alias("slope"), F.round(F.col("distortion") * DIM, 3).alias("distortion"))
+
+
 @query()
 def gaussian_sketch(spark: SparkSession, d: str) -> DataFrame:
     """One bit: normal projections against the orthogonal sketch, which has about a third of their error."""
@@ -548,6 +717,50 @@ def stream_encode(spark: SparkSession, d: str) -> DataFrame:
     return spark.read.parquet(f"{out}/rows").select("vec_id", F.hex("codes").alias("packed"))
 
 
+_KV = [*_P, *_BACK[len(_Y) :], "qa AS (SELECT label AS query_id, arg_min(embedding, vec_id) AS x FROM embeddings GROUP BY label)", *O.rotate("qa", "qap", "rs", DIM, "query_id"), *O.rotate("qap", "qas", "p_ss", DIM, "query_id")]
+_KV += ["qaw AS (SELECT qap.query_id, qap.x AS p, qas.x AS pw FROM qap JOIN qas USING (query_id))", f"ks AS MATERIALIZED (SELECT vec_id, label, {_PROD_SCORE} AS score FROM p JOIN embeddings USING (vec_id) JOIN qaw ON query_id = label)"]
+
+
+def _cache(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """A cache with a sequence for each label, and a query for each: its first vector."""
+    v = vectors(spark, d)
+    cache = v.select("vec_id", F.col("label").cast("long").alias("sequence"), C.prod_encode("embedding", prod()).alias("key"), C.mse_encode("embedding", mse(4)).alias("value"))
+    return cache, v.groupBy(F.col("label").cast("long").alias("sequence")).agg(F.min_by("embedding", "vec_id").alias("query"))
+
+
+@query(O.with_parts(_KV, "SELECT vec_id, label::BIGINT AS sequence, round(score::DOUBLE, 5) AS score FROM ks"))
+def kv_scores(spark: SparkSession, d: str) -> DataFrame:
+    """Keys of a cache, scored without decoding them."""
+    cache, q = _cache(spark, d)
+    return scores(cache, prod(), q).select("vec_id", "sequence", F.round(F.col("score").cast("double"), 5).alias("score"))
+
+
+@query(O.with_parts([*_KV, f"kw AS (SELECT vec_id, label, exp(score::DOUBLE / {DIM**0.5}) AS w FROM ks)"], f"SELECT label::BIGINT AS sequence, i::INT AS pos, round(sum(w * x[i + 1]::DOUBLE) / sum(w), 3) + 0::DOUBLE AS v FROM kw JOIN b USING (vec_id), range({DIM}) t(i) GROUP BY 1, 2"))
+def kv_attention(spark: SparkSession, d: str) -> DataFrame:
+    """Softmax of the scores, and the values' weighted mean."""
+    cache, q = _cache(spark, d)
+    out = attend(cache, prod(), mse(4), q).select("sequence", F.posexplode("value").alias("pos", "v"))
+    return out.withColumn("v", F.round(F.col("v").cast("double"), 3) + 0.0)
+
+
+@query("SELECT vec_id, label::BIGINT AS sequence, row_number() OVER (PARTITION BY label ORDER BY vec_id % 2, vec_id) - 1 AS position FROM embeddings")
+def kv_positions(spark: SparkSession, d: str) -> DataFrame:
+    """A cache of the even rows, then the odd ones appended: positions go on in each sequence."""
+    rows = vectors(spark, d).select("vec_id", F.col("label").cast("long").alias("sequence"))
+    empty = rows.where("false").withColumn("position", F.lit(0).cast("long"))
+    first = append_positions(empty, rows.where("vec_id % 2 = 0"), "vec_id")
+    return first.unionByName(append_positions(first, rows.where("vec_id % 2 = 1"), "vec_id")).select("vec_id", "sequence", "position")
+
+
+@query(O.with_parts(_M, _top(_MSE_SCORE, "qr, k")))
+def stream_index(spark: SparkSession, d: str) -> DataFrame:
+    """A stream of vectors into an index, opened with its model and searched."""
+    v = read_vectors(spark, d)
+    out = _scratch(spark, "stream-index")
+    append_index(read_stream(spark, f"{d}/embeddings.parquet", v.schema), mse(4), out, f"{out}/checkpoint").awaitTermination()
+    return _ranks(FlatIndex.open(spark, out, expect=mse(4)).search(asked(v), K))
+
+
 @query(_top("(-label * 1000 - vec_id)", "(SELECT label AS query_id, * FROM embeddings)", 3))
 def label_topk(spark: SparkSession, d: str) -> DataFrame:
     """The lowest ids of each label: the plan of a top-k by group, with a limit below the exchange."""

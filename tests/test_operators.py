@@ -8,11 +8,11 @@ from sparkvq.core.quantizers import Mse, Prod
 from sparkvq.functions import columns as C
 from sparkvq.functions import exprs as X
 from sparkvq.operators import search
-from sparkvq.operators.attention import Split, accumulate
+from sparkvq.operators.attention import Split, accumulate, append_positions, attend
 from sparkvq.operators.index import FlatIndex, encode, quantizer
-from sparkvq.operators.metrics import recall
+from sparkvq.operators.metrics import product_errors, recall
 from sparkvq.sources.vectors import read_vectors
-from sparkvq.streaming.encode import append_encoded, read_stream
+from sparkvq.streaming.encode import append_encoded, append_index, read_stream
 
 SEED = 7
 
@@ -138,3 +138,90 @@ def test_stream_is_batch(spark, sf_dir, tmp_path):
     path = f"{sf_dir}/embeddings.parquet"
     append_encoded(read_stream(spark, path, v.schema), model, str(tmp_path / "rows"), str(tmp_path / "state")).awaitTermination()
     assert sorted(map(str, spark.read.parquet(str(tmp_path / "rows")).collect())) == sorted(map(str, encode(v, model).collect()))
+
+
+def test_no_queries_and_null_queries(spark, small):
+    _, df = small
+    none = spark.createDataFrame([(1, None)], "query_id long, embedding array<float>")
+    for q in (none, none.where("false")):
+        assert product_errors(df, q, {"m": Mse(48, 2, SEED)}).collect() == []
+        assert FlatIndex.build(df, Mse(48, 2, SEED)).search(q, 3).collect() == []
+        assert search.compare(df, q, 3, {"m": Mse(48, 2, SEED)}).collect() == []
+
+
+def test_many_blocks_of_queries(small, monkeypatch):
+    _, df = small
+    q = df.select(F.col("vec_id").alias("query_id"), "embedding")
+    index = FlatIndex.build(df, Mse(48, 4, SEED))
+    want = sorted(index.search(q, 4).collect())
+    monkeypatch.setattr(search, "PASS_BLOCKS", 2)
+    monkeypatch.setattr(search.query_blocks, "__defaults__", (7,))
+    got = index.search(q, 4)
+    assert sorted(got.collect()) == want and len(want) == 240
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 5
+
+
+def test_sums_with_null_keys_and_weights(spark, small, monkeypatch):
+    from sparkvq.operators import attention
+
+    x, df = small
+    model = Mse(48, 4, SEED)
+    rows = df.select(F.when(F.col("vec_id") % 4 != 1, F.col("vec_id") % 4).alias("g"), F.when(F.col("vec_id") != 7, 0.5).alias("weight"), C.mse_encode("embedding", model).alias("encoded"))
+    back = model.decode(*model.encode(x))
+    for held in (4096, 1):
+        monkeypatch.setattr(attention, "HELD_KEYS", held)
+        got = {r.key: r.value for r in accumulate(rows, model, "g").collect()}
+        assert set(got) == {0, None, 2, 3}
+        for k, v in got.items():
+            mine = [i for i in range(60) if i % 4 == (1 if k is None else k) and i != 7]
+            assert np.allclose(v, 0.5 * back[mine].sum(0), atol=1e-4)
+
+
+def test_attention_over_a_cache(spark, small):
+    x, df = small
+    keys, values = Prod(48, 8, SEED), Mse(48, 8, SEED)
+    cache = df.select("vec_id", F.col("label").cast("long").alias("sequence"), C.prod_encode("embedding", keys).alias("key"), C.mse_encode("embedding", values).alias("value"))
+    cache = cache.unionByName(cache.limit(1).withColumn("key", F.lit(None).cast(cache.schema["key"].dataType)))
+    q = df.where("vec_id < 3").select(F.col("label").cast("long").alias("sequence"), F.col("embedding").alias("query"))
+    got = {r.sequence: r.value for r in attend(cache, keys, values, q).collect()}
+    assert set(got) == {0, 1, 2}
+    for s, v in got.items():
+        own = x[s::4].astype(np.float64)
+        w = np.exp(own @ x[s] / 48**0.5)
+        assert np.allclose(v, (w[:, None] * own).sum(0) / w.sum(), atol=0.05)
+
+
+def test_positions_go_on(spark):
+    first = append_positions(spark.createDataFrame([], "sequence long, t long, position long"), spark.createDataFrame([(1, 5), (1, 3), (2, 9)], "sequence long, t long"), "t")
+    more = append_positions(first, spark.createDataFrame([(1, 1), (3, 2)], "sequence long, t long"), "t")
+    assert sorted((r.sequence, r.t, r.position) for r in first.unionByName(more).collect()) == [(1, 1, 2), (1, 3, 0), (1, 5, 1), (2, 9, 0), (3, 2, 0)]
+
+
+def test_a_streamed_index_opens_and_compacts(spark, small, tmp_path):
+    _, df = small
+    df.write.parquet(f"file://{tmp_path}/in")
+    model = Mse(48, 4, SEED)
+    append_index(spark.readStream.schema(df.schema).parquet(f"file://{tmp_path}/in"), model, f"file://{tmp_path}/index", f"file://{tmp_path}/checkpoint").awaitTermination()
+    index = FlatIndex.open(spark, f"file://{tmp_path}/index", expect=model)
+    q = df.where("vec_id < 5").select(F.col("vec_id").alias("query_id"), "embedding")
+    assert sorted(index.search(q, 3).collect()) == sorted(FlatIndex.build(df, model).search(q, 3).collect())
+    left = index.remove(df.where("vec_id % 2 = 0").select("vec_id")).compact(f"file://{tmp_path}/compact")
+    assert left.rows.count() == 30 and left.model == model and {r.vec_id % 2 for r in left.rows.collect()} == {1}
+
+
+def test_blocks_need_no_padding(small):
+    x, df = small
+    model = Prod(48, 4, SEED, "block")
+    assert model.padded == 48 and model.mse.layout.code_bytes == 18
+    r = model.mse.rotation
+    y = r.apply(x)
+    assert np.allclose(r.invert(y), x, atol=1e-5) and np.allclose(np.linalg.norm(y, axis=1), np.linalg.norm(x, axis=1), rtol=1e-5)
+    one = r.apply(np.eye(48, dtype=np.float32)[:1])[0]
+    assert (np.abs(one) > 1e-4).sum() > 40  # one coordinate reaches all blocks
+    error = ((model.mse.decode(*model.mse.encode(x)) - x) ** 2).sum(1).mean() / (x**2).sum(1).mean()
+    assert error < 0.045
+    q = df.where("vec_id < 5").select(F.col("vec_id").alias("query_id"), "embedding")
+    found = FlatIndex.build(df, model).search(q, 1).collect()
+    assert all(r.query_id == r.vec_id for r in found)
+    with pytest.raises(ValueError, match="even"):
+        Mse(47, 4, SEED, "block").rotation
