@@ -397,7 +397,7 @@ def verify(docs: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
         return pa.array(out, pa.bool_())
 
     side = lambda k: own.selectExpr(f"node {k}", f"s s_{k}")
-    edges = stored(left.join(side("a"), "a").join(side("b"), "b").where(alike("s_a", "s_b")).select("a", "b"), "edges", small=True)
+    edges = stored(left.join(side("a"), "a").join(side("b"), "b").where(alike("s_a", "s_b")).select("a", "b"), "edges")
     unlink(left, need, own)
     return edges
 
@@ -424,14 +424,14 @@ def place(docs: DataFrame) -> DataFrame:
     entries = nodes.agg(F.sum(F.col("n") / 4 + 1)).first()[0] or 0
     parts = max(8, int(entries // PART_ROWS))
     first = stored(candidates(prefixes(docs, total(found.where("part is not null"), 1 << FREQ_BITS), parts).repartition(parts, "part"), parts), "first")
-    tried = stored(distinct_pairs(first.where("block is null").select("part", "pairs")), "tried", small=True)
+    tried = stored(distinct_pairs(first.where("block is null").select("part", "pairs")), "tried")
     edges = verify(docs, nodes, tried)
     big = first.where("block is not null").select("block", F.monotonically_increasing_id().alias("home"))
     big = stored(big, "big", small=True)
     for best in () if big.isEmpty() else (True, False):
         rooted = nodes.select("node", "cuts").join(components(edges), "node", "left").withColumn("root", F.coalesce("root", "node"))
         # a pair that was compared before, in whichever round or group, is not compared again
-        more = stored(second_pairs(big, rooted, parts, best).join(tried, ["a", "b"], "left_anti"), "second", small=True)
+        more = stored(second_pairs(big, rooted, parts, best).join(tried, ["a", "b"], "left_anti"), "second")
         if not more.isEmpty():
             edges, tried = edges.unionByName(verify(docs, nodes, more)), tried.unionByName(more)
     roots = nodes.select("node", "rows").join(components(edges), "node", "left").withColumn("root", F.coalesce("root", "node"))

@@ -8,14 +8,15 @@ first place (least doc_id, then hash of the text, then line). Equal 128-bit hash
 bytes of every candidate are then compared, by grouping on the chunk's text itself.
 
 Only hashes are shuffled, and the texts of repeated chunks, summed before the shuffle: a chunk that a
-third of all rows hold costs a row for each task. The lists of removed chunks meet the documents
-by a broadcast join up to SEND_ROWS documents, beyond it by a shuffle join.
+third of all rows hold costs a row for each task, and its places meet its first place by broadcast. The lists of removed
+chunks meet the documents by a broadcast join up to SEND_ROWS documents and SEND_BYTES, beyond it by a shuffle join.
 
-A row is known by its doc_id and a 64-bit hash of its text, so rows without an id or with a repeated one
+A row is known by its doc_id and the md5 of its text, so rows without an id or with a repeated one
 are decided each by its own text. Of rows equal in both, the first as stored counts as the
 earlier; only those rows are written anew, with a number.
 
-Edge cases: a null text is empty, one empty line; a null doc_id counts as the least; blank chunks are never removed; extra columns of docs pass through.
+Edge cases: a null text is empty, one empty line; a null doc_id counts as the least; blank chunks are never removed; extra columns of
+docs pass through under any name: where docs has a column `lines_dedup`, the result's struct is called `lines_dedup_`.
 """
 
 from __future__ import annotations
@@ -28,10 +29,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._spark import arrow, documents, stored
+from ._spark import arrow, documents, fresh, join_groups, named, stored
 
 WINDOW, CUT, LEAST_LINES = 2, 3, 2
-SEND_ROWS = 2_000_000
+#: Lists of removed chunks may be broadcast for so many documents and of so many bytes, as they lie in memory.
+SEND_ROWS, SEND_BYTES = 2_000_000, 64_000_000
 _BASE = 31
 NO_ID = -(1 << 63)
 #: What a row is known by.
@@ -60,62 +62,70 @@ def _eligible(n: int, chunk: bytes) -> bool:
 
 def _row(docs: DataFrame) -> list[Column]:
     """The columns ROW of docs."""
-    return [F.coalesce(docs["doc_id"].cast("long"), F.lit(NO_ID)), F.xxhash64(F.coalesce(docs["text"].cast("string"), F.lit("")))]
+    return [F.coalesce(docs["doc_id"].cast("long"), F.lit(NO_ID)), F.unhex(F.md5(F.coalesce(docs["text"].cast("string"), F.lit(""))))]
 
 
 def _texts(docs: DataFrame) -> DataFrame:
-    return docs.select(*[c.alias(n) for c, n in zip(_row(docs), ROW, strict=True)], F.col("text").cast("string").alias("text"))
+    return docs.select(*[c.alias(n) for c, n in zip(_row(docs), ROW, strict=True)], docs["text"].cast("string").alias("text"))
 
 
-def removals(docs: DataFrame) -> DataFrame:
-    """(doc_id, digest, removed, copies): first lines of the chunks that go, for each row that loses any.
+def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(ROW, line, h1, h2) of each chunk that may go, from (ROW, text)."""
+    kinds = [pa.int64(), pa.binary(), *[pa.int64()] * 3]
+    for batch in batches:
+        rows = []
+        for doc_id, digest, text in zip(*batch.columns, strict=True):
+            raw = text.as_buffer().to_pybytes() if text.is_valid else b""
+            rows += [(doc_id.as_py(), digest.as_py(), at, *struct.unpack("<qq", hashlib.md5(c).digest())) for at, n, c in chunks(raw) if _eligible(n, c)]
+        columns = list(zip(*rows, strict=True)) or [()] * 5
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], [*ROW, "line", "h1", "h2"])
 
-    copies: where several rows are equal in doc_id and digest, what all but the first of them lose; else null.
-    """
 
-    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = []
-            for doc_id, digest, text in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
-                rows += [(doc_id, digest, at, *struct.unpack("<qq", hashlib.md5(c).digest())) for at, n, c in chunks((text or "").encode("utf-8")) if _eligible(n, c)]
-            columns = list(zip(*rows, strict=True)) or [()] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], [*ROW, "line", "h1", "h2"])
+def _bytes_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(ROW, line, chunk) of the chunks at the lines in (ROW, text, lines)."""
+    kinds = [pa.int64(), pa.binary(), pa.int64(), pa.binary()]
+    for batch in batches:
+        rows = []
+        for doc_id, digest, text, lines in zip(*batch.columns, strict=True):
+            keep = set(lines.as_py())
+            raw = text.as_buffer().to_pybytes() if text.is_valid else b""
+            rows += [(doc_id.as_py(), digest.as_py(), at, c) for at, _, c in chunks(raw) if at in keep]
+        columns = list(zip(*rows, strict=True)) or [()] * 4
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], [*ROW, "line", "chunk"])
+
+
+def sent(lists: DataFrame, size: Column) -> DataFrame:
+    """lists, for a broadcast join if its rows and their size in bytes allow it, else for a shuffle join."""
+    rows, most = lists.agg(F.count("*"), F.sum(size + 100)).first()
+    return F.broadcast(lists) if rows <= SEND_ROWS and (most or 0) <= SEND_BYTES else lists
+
 
+def removals(docs: DataFrame) -> DataFrame:
+    """(ROW, lines, n, removed) of each row with repeated chunks: their first lines, those of them that go, and the number of chunks.
+
+    n is larger than the list of lines where several rows are equal in ROW: all but the first of these lose all lines.
+    """
     texts = _texts(docs)
-    places = stored(texts.mapInArrow(hashed, "doc_id long, digest long, line long, h1 long, h2 long"), "chunks")
+    places = stored(texts.mapInArrow(_hashed, "doc_id long, digest binary, line long, h1 long, h2 long"), "chunks")
     key, place = ["h1", "h2"], F.struct(*ROW, "line")
-    first = places.groupBy(*key).agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    again = stored(places.join(first, key), "repeated")
-    wanted = stored(again.groupBy(*ROW).agg(F.collect_set("line").alias("lines"), F.count("*").alias("n")), "wanted")
-
-    def bytes_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = []
-            for doc_id, digest, text, lines in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
-                keep = set(lines)
-                rows += [(doc_id, digest, at, c) for at, _, c in chunks((text or "").encode("utf-8")) if at in keep]
-            columns = list(zip(*rows, strict=True)) or [()] * 4
-            yield pa.RecordBatch.from_arrays([*[pa.array(c, pa.int64()) for c in columns[:3]], pa.array(columns[3], pa.binary())], [*ROW, "line", "chunk"])
-
-    found = texts.join(sent(wanted.drop("n")), ROW).select(*ROW, "text", "lines").mapInArrow(bytes_of, "doc_id long, digest long, line long, chunk binary")
-    # byte comparison: texts of equal hash are one group only if all their bytes are equal
-    same = stored(found.groupBy("chunk").agg(F.min(place).alias("least"), F.count("*").alias("n")), "compared")
-    hashes = same.withColumn("h", F.md5("chunk"))
-    differ = hashes.groupBy("h").agg(F.count("*").alias("texts")).where("texts > 1")
-    gone = again.where(place != F.col("first")).select(*ROW, "line")
-    if not differ.isEmpty():  # texts that share a hash are decided by their bytes alone
-        exact = found.join(hashes.join(differ, "h").select("chunk", "least"), "chunk").select(*ROW, "line", "least")
-        gone = gone.join(exact.select(*ROW, "line"), [*ROW, "line"], "left_anti").unionByName(exact.where(place != F.col("least")).select(*ROW, "line"))
-    gone = gone.groupBy(*ROW).agg(F.collect_set("line").alias("removed"))
-    # a chunk at one line of two rows: rows equal in ROW, all of whose chunks are in wanted
-    copies = wanted.where(F.col("n") > F.size("lines")).select(*ROW, F.col("lines").alias("copies"))
-    return stored(gone.withColumn("copies", F.lit(None).cast("array<long>")) if copies.isEmpty() else gone.join(copies, ROW, "full_outer"), "removed")
+    first = stored(places.groupBy(*key).agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1"), "repeated")
+    again = join_groups(places, first, key).select(*ROW, "line", (place != F.col("first")).alias("gone"))
 
+    def lists(of: DataFrame) -> DataFrame:
+        found = of.groupBy(*ROW).agg(F.collect_set("line").alias("lines"), F.count("*").alias("n"), F.collect_set(F.when(F.col("gone"), F.col("line"))).alias("removed"))
+        return stored(found, "removed")
 
-def sent(df: DataFrame) -> DataFrame:
-    """df to be broadcast if it has at most SEND_ROWS rows; else as it is, for a shuffle join."""
-    df = stored(df, "lists")
-    return F.broadcast(df) if df.count() <= SEND_ROWS else df
+    wanted = lists(again)
+    # byte comparison: texts of equal hash are one group only if all their bytes are equal
+    asked = sent(wanted.select(*ROW, "lines"), 8 * F.size("lines"))
+    found = texts.join(asked, ROW).select(*ROW, "text", "lines").mapInArrow(_bytes_of, "doc_id long, digest binary, line long, chunk binary")
+    same = found.groupBy("chunk").agg(F.min(place).alias("least")).withColumn("h", F.md5("chunk"))
+    differ = same.groupBy("h").agg(F.count("*").alias("texts")).where("texts > 1")
+    if differ.isEmpty():
+        return wanted
+    # texts that share a hash are decided by their bytes alone
+    exact = found.join(same.join(differ, "h").select("chunk", "least"), "chunk").select(*ROW, "line", (place != F.col("least")).alias("apart")).distinct()
+    return lists(again.join(exact, [*ROW, "line"], "left").withColumn("gone", F.coalesce("apart", "gone")))
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
@@ -125,33 +135,41 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     @F.arrow_udf("n_lines long, n_chunks long, n_removed_chunks long, n_removed_lines long, kept string")
     def kept_text(text: pa.Array, removed: pa.Array) -> pa.Array:
         rows = []
-        for t, gone in zip(text.to_pylist(), removed.to_pylist(), strict=True):
-            found, drop = chunks((t or "").encode("utf-8")), set(gone or ())
+        for t, gone in zip(text, removed, strict=True):
+            raw = t.as_buffer().to_pybytes() if t.is_valid else b""
+            found, drop = chunks(raw), set(gone.as_py() or ())
             out = [c for c in found if c[0] in drop]
-            kept = b"\n".join(c for at, _, c in found if at not in drop).decode("utf-8") if drop else (t or "")
+            kept = b"\n".join(c for at, _, c in found if at not in drop) if drop else raw
             rows.append((sum(n for _, n, _ in found), len(found), len(out), sum(n for _, n, _ in out), kept))
         columns = list(zip(*rows, strict=True)) or [()] * 5
-        kinds = [pa.int64()] * 4 + [pa.string()]
-        return pa.StructArray.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["n_lines", "n_chunks", "n_removed_chunks", "n_removed_lines", "kept"])
-
-    gone = removals(docs)
-    lists = gone.select(*[F.col(c).alias(f"lines_dedup_{c}") for c in (*ROW, "removed", "copies")])
-    if lists.count() <= SEND_ROWS:
-        lists = F.broadcast(lists)
-    own = [c == F.col(f"lines_dedup_{n}") for c, n in zip(_row(docs), ROW, strict=True)]
-    joined = docs.join(lists, own, "left")
+        kinds = [pa.int64()] * 4 + [pa.binary()]
+        made = [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]
+        return pa.StructArray.from_arrays([*made[:4], made[4].cast(pa.string())], ["n_lines", "n_chunks", "n_removed_chunks", "n_removed_lines", "kept"])
+
+    # else a filter on its result would be pushed below and evaluate it once more, in workers of its own
+    kept_text = kept_text.asNondeterministic()
+    doc_id, digest, removed, copies = (fresh(docs, f"lines_dedup_{c}") for c in (*ROW, "removed", "copies"))
+    gone = removals(docs).withColumn("copies", F.when(F.col("n") > F.size("lines"), F.col("lines"))).where("size(removed) > 0 or copies is not null")
+    lists = gone.select(F.col("doc_id").alias(doc_id), F.col("digest").alias(digest), F.col("removed").alias(removed), F.col("copies").alias(copies))
+    lists = sent(lists, 8 * F.size(removed) + 8 * F.size(F.coalesce(F.col(copies), F.array())))
+    joined = docs.join(lists, [c == F.col(n) for c, n in zip(_row(docs), (doc_id, digest), strict=True)], "left")
     if not gone.where("copies is not null").isEmpty():
-        joined = joined.where("lines_dedup_copies is null").unionByName(_after_first(joined.where("lines_dedup_copies is not null")))
-    return joined.withColumn("lines_dedup", kept_text(F.col("text").cast("string"), F.col("lines_dedup_removed"))).select(*docs.columns, "lines_dedup")
+        joined = joined.where(F.col(copies).isNull()).unionByName(_after_first(joined.where(F.col(copies).isNotNull()), doc_id, digest, removed, copies))
+    return joined.withColumn(into(docs), kept_text(docs["text"].cast("string"), F.col(removed))).select(*named(docs), into(docs))
+
+
+def into(docs: DataFrame) -> str:
+    """The name of the struct that deduplicated adds to docs."""
+    return fresh(docs, "lines_dedup")
 
 
-def _after_first(joined: DataFrame) -> DataFrame:
-    """joined, where all but the first of the rows that are equal in ROW have copies as removed."""
-    row = [f"lines_dedup_{c}" for c in ROW]
-    rows = stored(joined.withColumn("lines_dedup_row", F.monotonically_increasing_id()), "copies")
-    first = sent(rows.groupBy(*row).agg(F.min("lines_dedup_row").alias("lines_dedup_first")))
-    removed = F.when(F.col("lines_dedup_row") == F.col("lines_dedup_first"), F.col("lines_dedup_removed")).otherwise(F.col("lines_dedup_copies"))
-    return rows.join(first, row).withColumn("lines_dedup_removed", removed).select(*joined.columns)
+def _after_first(joined: DataFrame, doc_id: str, digest: str, removed: str, copies: str) -> DataFrame:
+    """joined, where all but the first of the rows that are equal in doc_id and digest have copies as removed."""
+    number, first = fresh(joined, "lines_dedup_row"), fresh(joined, "lines_dedup_first")
+    rows = stored(joined.withColumn(number, F.monotonically_increasing_id()), "copies")
+    groups = stored(rows.groupBy(doc_id, digest).agg(F.min(number).alias(first), F.count("*").alias(sizes := fresh(joined, "lines_dedup_n"))), "firsts", small=True)
+    gone = F.when(F.col(number) == F.col(first), F.col(removed)).otherwise(F.col(copies))
+    return join_groups(rows, groups, [doc_id, digest], sizes).withColumn(removed, gone).select(*named(joined))
 
 
 def op7_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
