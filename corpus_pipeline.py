@@ -15,37 +15,39 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkvq.llm._spark import arrow, stored
+from sparkvq.llm._spark import arrow, fresh, join_groups, named, stored, unlink
 from sparkvq.llm.op3_quality import judged, quality
 from sparkvq.llm.op4_jaccard import identified, known_by, place
 from sparkvq.llm.op6_decontaminate import holds_item
-from sparkvq.llm.op7_lines import deduplicated
+from sparkvq.llm.op7_lines import deduplicated, into
 from sparkvq.llm.op10_sentencepiece import encode_documents
 
-#: Ids of this many removed documents may be broadcast (16 MB); beyond it they are joined by shuffle.
-SEND_IDS = 2_000_000
+#: Ids and digests of this many removed documents may be broadcast (50 MB); beyond it they are joined by shuffle.
+SEND_IDS = 500_000
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the base rules and the log-likelihood ratio accept."""
     weight, least, _ = quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    found = docs.withColumn("quality_verdict", judged(spark, docs["text"], weight))
-    return found.where((~F.col("quality_verdict.base_failed")) & (F.col("quality_verdict.score") >= least)).drop("quality_verdict")
+    verdict = fresh(docs, "quality_verdict")
+    found = docs.withColumn(verdict, judged(spark, docs["text"], weight))
+    return found.where((~F.col(verdict)["base_failed"]) & (F.col(verdict)["score"] >= least)).select(*named(docs))
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the multi-line chunks that an earlier document has."""
-    found, kept = deduplicated(docs), F.col("lines_dedup.kept")
-    found = found.where((F.col("lines_dedup.n_removed_chunks") == 0) | kept.rlike(r"[^\x20\x09-\x0D]"))
-    changed = F.col("lines_dedup.n_removed_chunks") > 0
-    return found.select(*[F.when(changed, kept).otherwise(F.col("text")).alias("text") if c == "text" else F.when(changed, F.char_length(kept).cast("long")).otherwise(F.col("n_chars")).alias("n_chars") if c == "n_chars" else F.col(c) for c in docs.columns])
+    found, lines = deduplicated(docs), F.col(into(docs))
+    kept, changed = lines["kept"], lines["n_removed_chunks"] > 0
+    found = found.where(~changed | kept.rlike(r"[^\x20\x09-\x0D]"))
+    new = {"text": kept, "n_chars": F.char_length(kept).cast("long")}
+    return found.select(*[F.when(changed, new[c]).otherwise(own).alias(c) if c in new else own for c, own in zip(docs.columns, named(docs), strict=True)])
 
 
 def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of rows linked by Jaccard similarity one: that of the least doc_id (none comes last), then of the least hash of its text."""
-    linked = place(docs).where("root is not null")
-    first = linked.groupBy("root").agg(F.min(known_by()).alias("first"), F.count("*").alias("n")).where("n > 1")
-    gone = linked.join(first, "root").where(known_by() != F.col("first"))
+    linked = place(docs).where("root is not null").drop("n")
+    first = stored(linked.groupBy("root").agg(F.min(known_by()).alias("first"), F.count("*").alias("n")).where("n > 1"), "first", small=True)
+    gone = join_groups(linked, first, ["root"]).where(known_by() != F.col("first"))
     left = docs.join(*_rows(docs, gone, "gone"), "left_anti")
     twice = linked.groupBy("doc_id", "digest").count().where("count > 1")
     if twice.isEmpty():
@@ -53,13 +55,13 @@ def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     again = _rows(docs, twice, "twice")
     # equal in doc_id and text: of the other columns the least hash decides
     same = left.join(*again, "left_semi")
-    one = same.groupBy(*[c.alias(f"of_{i}") for i, c in enumerate(identified(same))]).agg(F.min_by(F.struct(*docs.columns), F.xxhash64(*docs.columns)).alias("one"))
+    one = same.groupBy(*[c.alias(f"of_{i}") for i, c in enumerate(identified(same))]).agg(F.min_by(F.struct(*named(docs)), F.xxhash64(*named(docs))).alias("one"))
     return left.join(*again, "left_anti").unionByName(one.select("one.*"))
 
 
 def _rows(docs: DataFrame, some: DataFrame, name: str) -> tuple[DataFrame, Column]:
     """The rows (doc_id, digest) of some, to be joined to docs, and on what."""
-    keys = stored(some.selectExpr("doc_id near_id", "digest near_digest").distinct(), name)
+    keys = stored(some.selectExpr("doc_id near_id", "digest near_digest").distinct(), name, small=True)
     doc_id, digest = identified(docs)
     return F.broadcast(keys) if keys.count() <= SEND_IDS else keys, doc_id.eqNullSafe(keys["near_id"]) & (digest == keys["near_digest"])
 
@@ -89,7 +91,9 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     arrow(spark)
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = source = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir), name.split()[0])
+        before, docs = docs, stored(stage(spark, docs, sf_dir), name.split()[0])
+        if before is not source:
+            unlink(before)
     return STAGES[-1][1](spark, docs, sf_dir)
