@@ -12,8 +12,9 @@ so each run also gets the probability that word-like text looks as random: the l
 tail of chi-squared under the letter frequencies of prose, and the upper tail of the class
 changes at the rate of prose, joined by Fisher's method. Both shrink with the length. All runs of
 the corpus are one family: Benjamini-Hochberg at level FDR with weights in proportion to length
-(at most MAX_WEIGHT), on a histogram of BINS log-probabilities, which is all that
-reaches the driver.
+(at most MAX_WEIGHT), scaled to a mean of 1 over the family, on a histogram of BINS log-probabilities, which is all that
+reaches the driver. Runs of decimal digits are tested like others, but digits have no letter frequencies or class changes to
+tell them from prose: only very long ones are found.
 
 One scan of the text, no shuffle of it; offsets are code points. Edge cases: null or empty text has
 no spans; rows repeat as they come; extra columns are ignored; with no runs the cut is 0 and
@@ -102,14 +103,15 @@ def encoding(run: str) -> tuple[str, int] | None:
 def battery(run: str) -> tuple[list[float], float]:
     """Probabilities of the three tests under uniform draws; -log10 that prose looks as random."""
     kind = encoding(run)
-    if kind is None or kind[0] == "decimal":
+    if kind is None:
         return [0.0, 0.0, 0.0], 0.0
     name, k = kind
     run = run.rstrip("=")
     n, place = len(run), _PLACE[name]
     squares = sum(c * c for c in Counter(run).values())
     chi = squares * k / n - n
-    uniform = 1 - _normal((chi - (k - 1)) / math.sqrt(2 * (k - 1)))
+    spread = 2 / (9 * (k - 1))  # Wilson and Hilferty: the cube root of chi-squared is nearly normal, far into the tail
+    uniform = 1 - _normal((math.cbrt(max(0.0, chi) / (k - 1)) - (1 - spread)) / math.sqrt(spread))
     classes = [_class(c) for c in run]
     changes = sum(a != b for a, b in zip(classes, classes[1:], strict=False))
     sizes = Counter(_class(c) for c in place)
@@ -201,11 +203,12 @@ def scanned(docs: DataFrame) -> DataFrame:
 def cut(found: DataFrame) -> float:
     """Benjamini-Hochberg over all runs: the least weighted -log10 p that counts as a discovery."""
     place = F.least(F.floor(F.col("r.logp") / BIN), F.lit(BINS - 1)).cast("int")
-    rows = found.select(F.explode("runs").alias("r")).groupBy(place.alias("bin")).count().collect()
-    n = np.zeros(BINS, np.int64)
-    for b, c in rows:
+    weight = F.least(F.lit(MAX_WEIGHT), (F.col("r.end") - F.col("r.start")) / F.lit(float(LEAST)))
+    rows = found.select(F.explode("runs").alias("r")).groupBy(place.alias("bin")).agg(F.count("*"), F.sum(weight)).collect()
+    n, total = np.zeros(BINS, np.int64), 0.0
+    for b, c, w in sorted(rows):
         n[b] = c
-    total = n.sum()
+        total += w  # the probabilities are over weights of any mean; their sum in place of the number scales them to mean 1
     at_least = n[::-1].cumsum()[::-1]
     ok = (np.arange(BINS) > 0) & (at_least > 0) & (10.0 ** -(np.arange(BINS) * BIN) * total <= FDR * at_least)
     return float(np.flatnonzero(ok).min() * BIN) if ok.any() else float("inf")

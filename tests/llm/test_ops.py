@@ -664,6 +664,158 @@ def test_any_text_encodes_as_the_library_does(bpe, library):
             assert np.frombuffer(bpe.encode(text), "<u4").tolist() == library.encode(text, add_bos=True, add_eos=True)
 
 
+# --- odd input that once went wrong
+
+
+def thue_morse(n):
+    """A word and its complement, whose polynomial hashes modulo 2**64 are equal from 1024 letters on."""
+    a = "".join("ab"[i.bit_count() % 2] for i in range(n))
+    return a, a.translate(str.maketrans("ab", "ba"))
+
+
+@pytest.mark.parametrize("n", [1024, 2048])
+def test_structured_words_do_not_collide(spark, n):
+    from sparkvq.llm import op3_quality, op4_jaccard, op6_decontaminate
+    from sparkvq.llm._text import slices
+
+    a, b = thue_morse(n)
+    docs = spark.createDataFrame([(1, a), (2, b), (3, f"{a}\n{b}"), (4, f"{a}\n{a}")], "doc_id long, text string")
+    same(by(op4_jaccard.link(docs), "doc_id", "n_shingles", "component_id"), [(i, 1, i) for i in (1, 2, 3, 4)])
+    import pyarrow as pa
+
+    (t,) = slices(pa.array([f"{a}\n{b}", f"{a}\n{a}"]))
+    assert op3_quality.base_counts(t)[3].tolist() == [0, 1]
+    items = spark.createDataFrame([(7, a)], "item_id long, text string")
+    same(by(op6_decontaminate.contamination(docs, items), "doc_id", "item_id"), [(1, 7)])
+
+
+def test_span_hash_is_one_of_the_bytes_alone():
+    from sparkvq.llm._text import span_hash
+
+    rng = np.random.Generator(np.random.PCG64(4))
+    data = rng.integers(97, 99, 4000).astype(np.uint8)
+    starts = rng.integers(0, 3900, 3000)
+    ends = starts + rng.integers(0, 60, 3000)
+    whole, seen = span_hash(data, starts, ends).tolist(), {}
+    for h, a, b in zip(whole, starts.tolist(), ends.tolist(), strict=True):
+        raw = data[a:b].tobytes()
+        assert seen.setdefault(raw, h) == h
+        assert int(span_hash(np.frombuffer(b"xy" + raw + b"z", np.uint8), np.array([2]), np.array([2 + len(raw)]))[0]) == h
+    assert len(set(seen.values())) == len(seen)
+
+
+def test_each_pair_is_compared_once(spark, monkeypatch):
+    from sparkvq.llm import op4_jaccard as m
+
+    monkeypatch.setattr(m, "SMALL", 2)
+    tried, verify = [], m.verify
+
+    def seen(docs, nodes, pairs):
+        tried.extend(tuple(r) for r in pairs.select("a", "b").collect())
+        return verify(docs, nodes, pairs)
+
+    monkeypatch.setattr(m, "verify", seen)
+    common = [f"w{i}" for i in range(90)]
+    docs = [(k, " ".join(common + [f"own{k}x{i}" for i in range(15)])) for k in range(20)]
+    same(by(m.link(spark.createDataFrame(docs, "doc_id long, text string")), "doc_id", "n_shingles", "component_id"), linked_by_brute_force(docs))
+    assert len(tried) == len(set(tried)) > 0
+
+
+def test_own_names_in_the_input(spark, odd, odd_rows):
+    """Columns named like the operators' own keep their values, and results go under the next free name."""
+    from sparkvq.llm import op2_suffix, op7_lines
+
+    docs = odd.select("doc_id", "text").fillna("", ["text"])
+    taken = ["lines_dedup", "lines_dedup_doc_id", "lines_dedup_digest", "lines_dedup_removed", "lines_dedup_copies", "lines_dedup_row", "suffix_dedup", "suffix_dedup_node", "suffix_dedup_spans", "suffix_dedup_copied", "with.dot"]
+    more = docs.select("*", *[op7_lines.F.lit(c).alias(c) for c in taken])
+    for module, run, name, kept in ((op7_lines, op7_lines.deduplicated, "lines_dedup", "kept"), (op2_suffix, op2_suffix.cut_texts, "suffix_dedup", "n_removed")):
+        got = run(more)
+        assert got.columns == [*more.columns, f"{name}_"]
+        assert {tuple(r) for r in got.select(*[f"`{c}`" for c in taken]).distinct().collect()} == {tuple(taken)}
+        same(by(got.select("doc_id", f"{name}_.{kept}"), "doc_id", kept), by(run(docs).select("doc_id", f"{name}.{kept}"), "doc_id", kept))
+
+
+def test_texts_that_share_a_hash(spark, odd, odd_rows, monkeypatch):
+    """Unlike texts under one hash are told apart, not taken for copies."""
+    from sparkvq.llm import op2_suffix as m
+
+    docs = odd.select("doc_id", "text").fillna("", ["text"]).where("octet_length(text) < 5000")
+    want = by(m.cut_texts(docs).select("doc_id", "suffix_dedup.*"), "doc_id", "n_removed", "n_spans", "kept")
+    monkeypatch.setattr(m, "text_hash", lambda text: m.F.xxhash64(text) % 5)
+    same(by(m.cut_texts(docs).select("doc_id", "suffix_dedup.*"), "doc_id", "n_removed", "n_spans", "kept"), want)
+
+
+def test_hot_keys_are_joined_apart(spark, monkeypatch):
+    from sparkvq.llm import _spark as m
+
+    rows_ = spark.range(1000).selectExpr("if(id < 400, 0, id % 50) k", "id")
+    groups = m.stored(rows_.groupBy("k").count().withColumnRenamed("count", "n"), "groups")
+    want = sorted(tuple(r) for r in rows_.join(groups, "k").collect())
+    monkeypatch.setattr(m, "HOT_ROWS", 100)
+    monkeypatch.setattr(m, "HOT_KEYS", 10)
+    found = m.join_groups(rows_, groups, ["k"])
+    assert sorted(tuple(r) for r in found.collect()) == want
+    assert "Union" in found._jdf.queryExecution().executedPlan().toString()
+    m.unlink(groups)
+    with pytest.raises(Exception, match="does not exist|FILE_NOT_EXIST|FAILED_READ"):
+        groups.count()
+
+
+def test_randomness_statistics_by_themselves():
+    """The three tests against plain versions; uniform draws pass at their level, also of digits alone."""
+    import math
+
+    from sparkvq.llm import op8_secrets as m
+
+    rng = np.random.Generator(np.random.PCG64(11))
+    normal = lambda z: 0.5 * (1 + math.erf(z / 2**0.5))
+    passed = Counter()
+    for name, letters in m.ALPHABETS:
+        for _ in range(60):
+            run = "".join(rng.choice(list(letters), 48))
+            kind = m.encoding(run)
+            if kind[0] != name:
+                continue
+            tests, logp = m.battery(run)
+            x, k, n = np.array([letters.index(c) for c in run]), len(letters), 48
+            counts = np.bincount(x, minlength=k)
+            chi = ((counts - n / k) ** 2 / (n / k)).sum()
+            a = 2 / 9 / (k - 1)
+            assert math.isclose(tests[0], 1 - normal(((chi / (k - 1)) ** (1 / 3) - 1 + a) / a**0.5), abs_tol=1e-9)
+            d = x - x.mean()
+            assert math.isclose(tests[2], 2 * (1 - normal(abs((d[:-1] * d[1:]).sum() / (d**2).sum()) * n**0.5)), abs_tol=1e-9)
+            of = ["0a"[c.islower()] if not c.isupper() else "A" for c in run if c.isalnum()]
+            if len(of) == n and len({"0a"[c.islower()] if not c.isupper() else "A" for c in letters}) > 1:
+                share = Counter("0a"[c.islower()] if not c.isupper() else "A" for c in letters)
+                rate = 1 - sum((v / k) ** 2 for v in share.values())
+                turns = sum(a != b for a, b in zip(of, of[1:], strict=False))
+                if all(c.isalnum() for c in letters):
+                    assert math.isclose(tests[1], 2 * (1 - normal(abs(turns - (n - 1) * rate) / ((n - 1) * rate * (1 - rate)) ** 0.5)), abs_tol=1e-9)
+            passed[name, min(tests) >= m.PASS] += 1
+            assert logp >= 0
+    assert passed["decimal", True] > 50 and sum(v for (_, ok), v in passed.items() if not ok) <= 3
+
+
+def test_discoveries_by_weighted_step_up(spark):
+    """The cut against the weighted Benjamini-Hochberg procedure on the single runs."""
+    from sparkvq.llm import op8_secrets as m
+
+    rng = np.random.Generator(np.random.PCG64(12))
+    runs = []
+    for _ in range(400):
+        size = int(rng.integers(20, 120))
+        w = min(m.MAX_WEIGHT, size / m.LEAST)
+        p = 10.0 ** -rng.uniform(3, 9) if rng.random() < 0.1 else rng.random()
+        runs.append((size, w, p))
+    rows_ = [(i, [], [(0, s, float(max(0.0, -np.log10(p) + np.log10(w))))]) for i, (s, w, p) in enumerate(runs)]
+    got = m.cut(spark.createDataFrame(rows_, m.SCANNED))
+    mean = np.mean([w for _, w, _ in runs])
+    q = np.sort([p * mean / w for _, w, p in runs])
+    k = int(np.flatnonzero(q <= m.FDR * np.arange(1, 401) / 400).max()) + 1
+    found = sum(r[2][0][2] >= got for r in rows_)
+    assert abs(found - k) <= 1 and k > 20
+
+
 def test_queries_are_whole():
     assert [n.split("_")[0] for n in llm.OPERATORS] == [f"op{i}" for i in range(1, 11)]
     assert DATA.endswith("sf0.001")
