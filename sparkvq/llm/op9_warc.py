@@ -13,6 +13,9 @@ folder's scheme), under a name of the task attempt's own; only the names that a
 returned are read, so retries and lost executors leave strays but no doubles. A package holds at most
 PACKAGE_BYTES of payload or one larger record.
 
+Who refers to whom is found from digests alone; a digest that many pages share meets its response by
+broadcast. Payloads move only where there are more than SEND_REVISITS revisits.
+
 Edge cases: null html is an empty payload; of equal payloads (empty ones, too) the largest page_id
 is the response, rows with a null page_id refer to it (where all are null, each is a response);
 rows of equal page_id have a record each, and of repeated rows the others refer to one; an empty table
@@ -30,15 +33,17 @@ import zlib
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._spark import arrow, shared_dir, stored
+from ._spark import arrow, join_groups, shared_dir, stored, unlink
 
 ARCHIVE, INDEX = "archive/data.warc.gz", "indexes/index.cdx"
 PACKAGE_BYTES = 64 << 20
 #: Index lines of one range-reading task; neighbours are read with one open file.
 TASK_RECORDS = 5_000
+#: So many revisits may be broadcast to the pages (150 bytes each, 38 MB); beyond it pages and revisits meet by shuffle.
+SEND_REVISITS = 250_000
 
 
 # ZIP format: signatures and record layouts are fixed values of the format
@@ -277,17 +282,24 @@ def archive(pages: DataFrame) -> tuple[DataFrame, str]:
     key = F.sha1(F.coalesce(F.col("html"), F.lit("")).cast("binary"))
     digests = stored(rows.select("page_id", key.alias("digest")), "digests")
     # one row per digest: who is its response; groups are summed before the shuffle
-    best = digests.groupBy("digest").agg(F.max("page_id").alias("best"), F.count("*").alias("n")).where("n > 1").select("digest", "best")
-    both = digests.join(best, "digest")
-    again = both.groupBy("page_id", "digest").agg(F.count("*").alias("n")).where("n > 1 or page_id is null")
-    rows = rows.withColumn("digest", key)
-    if again.isEmpty():
-        out = rows.join(both.where("page_id < best").withColumnRenamed("best", "refers_to"), ["page_id", "digest"], "left")
-    else:  # repeated rows: all but one record refer to it
-        order = Window.partitionBy("digest", "page_id").orderBy(F.lit(0))
-        out = rows.join(best, "digest", "left").withColumn("k", F.row_number().over(order))
-        out = out.withColumn("refers_to", F.when(F.col("best").isNull() | (F.col("page_id").eqNullSafe(F.col("best")) & (F.col("k") == 1)), None).otherwise(F.col("best")))
+    best = stored(digests.groupBy("digest").agg(F.max("page_id").alias("best"), F.count("*").alias("n")).where("n > 1 and best is not null"), "best", small=True)
+    both = join_groups(digests, best, ["digest"]).groupBy(F.col("page_id").alias("revisit"), F.col("digest").alias("same"), "best").agg(F.count("*").alias("n"))
+    # only revisits, and responses that stand in several rows, are told to the pages; all others keep no partner
+    revisits = stored(both.where("revisit is null or revisit < best or n > 1").selectExpr("revisit", "same", "best", "revisit <=> best copies"), "revisits", small=True)
+    told = F.broadcast(revisits) if revisits.count() <= SEND_REVISITS else revisits
+    out = rows.withColumn("digest", key).join(told, F.col("page_id").eqNullSafe(F.col("revisit")) & (F.col("digest") == F.col("same")), "left")
+    copied = F.coalesce(F.col("copies"), F.lit(False))
+    gone = [digests, best, revisits]
+    if revisits.where("copies").isEmpty():
+        out = out.select("page_id", "url", "html", F.col("best").alias("refers_to"))
+    else:  # of rows equal in page_id and payload the first as stored is the response
+        held = stored(out.where(copied).select("page_id", "url", "html", "digest", F.monotonically_increasing_id().alias("row")), "copies")
+        first = stored(held.groupBy("page_id", "digest").agg(F.min("row").alias("first"), F.count("*").alias("n")), "firsts", small=True)
+        later = join_groups(held, first, ["page_id", "digest"]).select("page_id", "url", "html", F.when(F.col("row") != F.col("first"), F.col("page_id")).alias("refers_to"))
+        out = out.where(~copied).select("page_id", "url", "html", F.col("best").alias("refers_to")).unionByName(later)
+        gone += [held, first]
     packages = stored(write_packages(out, folder), "packages")
+    unlink(*gone)
     return packages, folder
 
 

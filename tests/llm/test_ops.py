@@ -599,6 +599,10 @@ def test_archives(spark, monkeypatch):
     odd_pages = pages + [(3, "u", "<p>3</p>"), (31, "u", "<p>3</p>"), (31, "u", "<p>3</p>"), (None, "u", "<p>4</p>"), (None, "u", "alone"), (None, "u", "alone")]
     same(back(odd_pages), warc_by_brute_force([(i, h) for i, _, h in odd_pages]))
     assert back([]) == []
+    # revisits told by shuffle, and digests of many pages by broadcast
+    monkeypatch.setattr(m, "SEND_REVISITS", 0)
+    monkeypatch.setattr("sparkvq.llm._spark.HOT_ROWS", 2)
+    same(back(odd_pages), warc_by_brute_force([(i, h) for i, _, h in odd_pages]))
 
 
 # --- 10
